@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import small, table, texts, written
 
-CAPACITY, END_ID, WORDS_HELD = 2048, 0, 400_000
+CAPACITY, END_ID, WORDS_HELD = 2048, 0, 700_000
+#: Characters that end a word of letters and make a pre-token of their own (an apostrophe may begin a contraction).
+ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,22 +46,41 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> bool:
-        """Encode unknown words; False if one has white space at an end, or is empty."""
+    def _learn_letters(self, words: list[str], lead: str) -> None:
+        """Words of letters only (with their space, if they have one) are one pre-token each, so one call encodes all of them."""
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            said = self.tokenizer.encode(lead + lead.join(some), add_special_tokens=False)
+            ids, own = np.array(said.ids, "<u4"), np.array(said.word_ids)
+            each = 1 + bool(lead)
+            if len(own) and own[-1] + 1 == each * len(some):
+                edges = np.searchsorted(own, np.arange(each * len(some) + 1))
+                for word, x, y in zip(some, edges[each - 1 : -1 : each].tolist(), edges[each::each].tolist(), strict=True):
+                    self.known[word] = ids[x:y].tobytes()
+            else:  # the library sees other letters than Python does
+                self.known.update((x, self._encode(x)) for x in some)
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode unknown words. Those with white space at an end, or empty, stay unknown."""
+        known, letters, ended, other = self.known, set(), [], set()
         for word in words:
-            bare = word.removeprefix(" ")
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                return False
-            if bare[-1] in ".," and bare[-2:-1].isalpha():
-                stem = word[:-1]
-                if stem not in self.known:
-                    self.known[stem] = self._encode(stem)
-                if word[-1] not in self.known:
-                    self.known[word[-1]] = self._encode(word[-1])
-                self.known[word] = self.known[stem] + self.known[word[-1]]
-            else:
-                self.known[word] = self._encode(word)
-        return True
+            bare = word[1:] if word[:1] == " " else word
+            if bare.isalpha():
+                letters.add(word)
+                continue
+            stem = word.rstrip(ENDINGS)
+            if stem != word and (stem[1:] if stem[:1] == " " else stem).isalpha():
+                ended.append((word, stem, word[len(stem) :]))
+                if stem not in known:
+                    letters.add(stem)
+                if word[len(stem) :] not in known:
+                    other.add(word[len(stem) :])
+            elif bare and not bare[0].isspace() and not bare[-1].isspace() or word == "\n":
+                other.add(word)
+        self._learn_letters(sorted(x for x in letters if x[0] == " "), "")
+        self._learn_letters(sorted(x for x in letters if x[0] != " "), "\n")
+        known.update((x, self._encode(x)) for x in other)
+        known.update((word, known[stem] + known[end]) for word, stem, end in ended)
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -73,20 +94,19 @@ class Encoder:
             out += [" " + x for x in rest]
         return out
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self._parts(text)
-        try:
-            return b"".join([self.known[x] for x in parts])
-        except KeyError:
-            if len(self.known) > WORDS_HELD:
-                self.known.clear()
-            if not self._learn({x for x in parts if x not in self.known and x != "\n"}):
-                return self._encode(text)
-            if "\n" not in self.known:
-                self.known["\n"] = self._encode("\n")
-            return b"".join([self.known[x] for x in parts])
+    def ids(self, some: list[str]) -> list[bytes]:
+        parts = [self._parts(x) if x else [] for x in some]
+        if len(self.known) > WORDS_HELD:
+            self.known.clear()
+        known = self.known
+        self._learn({x for own in parts for x in own if x not in known})
+        out = []
+        for text, own in zip(some, parts, strict=True):
+            try:
+                out.append(b"".join([known[x] for x in own]))
+            except KeyError:  # white space of another form
+                out.append(self._encode(text))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -114,8 +134,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for whole in batches:
             for batch in small(whole):
                 row, out = [], []
-                for i, text in enumerate(texts(batch.column(1))):
-                    ids = encoder(path).ids(text) + END_ID.to_bytes(4, "little")
+                for i, own in enumerate(encoder(path).ids(texts(batch.column(1)))):
+                    ids = own + END_ID.to_bytes(4, "little")
                     for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(i)
                         out.append((k, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])))
