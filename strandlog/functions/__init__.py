@@ -1 +1 @@
-"""functions of the log engine."""
+"""Scalar functions of record logs."""

@@ -1 +1 @@
-"""streaming of the log engine."""
+"""Streams of records."""
