@@ -5,17 +5,23 @@ A (topic, partition) is the unit of order. Filters stand below windows, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TOPITION = ["topic", "partition"]
-IN_ORDER = Window.partitionBy(*TOPITION).orderBy("offset_id")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
 #: Codes of a requested time that ask for an end of the log.
 EARLIEST, LATEST = -2, -1
 
 
+def in_order() -> WindowSpec:
+    return Window.partitionBy(*TOPITION).orderBy("offset_id")
+
+
+def so_far(less: int = 0) -> WindowSpec:
+    """The records up to this one, less the last few."""
+    return in_order().rowsBetween(Window.unboundedPreceding, -less)
+
+
 def byte_size(*columns: str) -> Column:
     """Bytes of the columns, null as none."""
     return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
@@ -42,7 +48,7 @@ def fetch(log: DataFrame, start: int, max_bytes: int, end: int | None = None, ke
     if key is not None:
         rows = rows.where(F.col("k") == key)
     rows = rows.withColumn("size", byte_size("k", "v"))
-    spent = F.coalesce(F.sum("size").over(BEFORE), F.lit(0)) if at_least_one else F.sum("size").over(SO_FAR)
+    spent = F.coalesce(F.sum("size").over(so_far(1)), F.lit(0)) if at_least_one else F.sum("size").over(so_far())
     return rows.withColumn("spent", spent).where(F.col("spent") < max_bytes).drop("spent")
 
 
@@ -55,7 +61,7 @@ def fetch_across(log: DataFrame, start: int, max_bytes: int, partition_max_bytes
     totals = own.groupBy(*TOPITION).agg(F.sum("size").alias("total"))
     gone = totals.withColumn("gone", F.coalesce(F.sum("total").over(Window.orderBy(*TOPITION).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     both = own.join(gone.select(*TOPITION, "gone"), TOPITION)
-    return both.withColumn("spent", F.sum("size").over(SO_FAR) + F.col("gone")).where(F.col("spent") < max_bytes).drop("spent", "gone")
+    return both.withColumn("spent", F.sum("size").over(so_far()) + F.col("gone")).where(F.col("spent") < max_bytes).drop("spent", "gone")
 
 
 def watermarks(log: DataFrame) -> DataFrame:
@@ -75,18 +81,18 @@ def offsets_at(log: DataFrame, topitions: DataFrame, at: Column | int) -> DataFr
 
 def batches(log: DataFrame, same: list[str]) -> DataFrame:
     """Runs of records that follow each other without a gap and agree in `same`: one row for each batch."""
-    prior = [F.lag(c).over(IN_ORDER).eqNullSafe(F.col(c)) for c in same]
-    joins = F.lag("offset_id").over(IN_ORDER) + 1 == F.col("offset_id")
+    prior = [F.lag(c).over(in_order()).eqNullSafe(F.col(c)) for c in same]
+    joins = F.lag("offset_id").over(in_order()) + 1 == F.col("offset_id")
     for p in prior:
         joins = joins & p
     rows = log.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("batch", F.sum("_new").over(SO_FAR))
+    rows = rows.withColumn("batch", F.sum("_new").over(so_far()))
     return rows.groupBy(*TOPITION, "batch", *same).agg(F.min("offset_id").alias("base_offset"), F.count("*").alias("records"), F.max("ts").alias("max_ts"))
 
 
 def contiguous(log: DataFrame, start: int = 0) -> DataFrame:
     """The records before the first gap after `start`."""
-    rows = log.where(F.col("offset_id") >= start).withColumn("_place", F.row_number().over(IN_ORDER) - 1 + start)
+    rows = log.where(F.col("offset_id") >= start).withColumn("_place", F.row_number().over(in_order()) - 1 + start)
     return rows.where(F.col("offset_id") == F.col("_place")).drop("_place")
 
 

@@ -12,7 +12,7 @@ WEEK_MS, CONTROL = 7 * 24 * 3600 * 1000, 32
 
 def has_policy(value: Column, policy: str) -> Column:
     """A cleanup policy is an element of a comma list."""
-    return F.array_contains(F.transform(F.split(value, ","), F.trim), policy)
+    return F.array_contains(F.transform(F.split(value, ","), lambda x: F.trim(x)), policy)
 
 
 def compact(log: DataFrame, head: DataFrame | None = None) -> DataFrame:

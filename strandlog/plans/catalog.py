@@ -295,7 +295,7 @@ def flattened(spark, sf):
     return lake.flatten(_nested(spark, sf), "_")
 
 
-@query(""" select event_id, cast(cast(ts as date) as varchar) as "date", cast(value as integer) as whole from log where value = floor(value) or value < 0 or value > 0""")
+@query(""" select event_id, cast(cast(ts as date) as varchar) as "date", cast(round(value) as integer) as whole from log""")
 def generated_columns(spark, sf):
     out = lake.generate(_nested(spark, sf), {"date": "cast(cast(meta.timestamp as date) as string)", "whole": "cast(round(value.body.value) as int)"})
     return out.select("value.event_id", "date", "whole")
