@@ -66,6 +66,8 @@ class Model:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str) -> float:
+        if self.bias == float("-inf"):
+            return 0.0
         own, known = words(text), self.known
         if len(known) > WORDS_HELD:
             known.clear()
@@ -86,7 +88,7 @@ def all_features(own: Iterable[str]) -> set[str]:
 def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY, pull: float = 1.0) -> Model:
     """docs: the distinct words of each text. They are read twice; only counts of features stay in memory."""
     if not len(y):
-        return Model({}, -800.0)
+        return Model({}, float("-inf"))
     share = min(max(float(y.mean()), 1 / len(y)), 1 - 1 / (len(y) + 1))
     seen: Counter = Counter()
     toxic: Counter = Counter()
