@@ -1,7 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint has 64 bits, one row per distinct fingerprint is indexed. For radius r every bit position gets a
-fixed vector of r + 1 bits; table v (each non-zero vector of r + 1 bits) keeps the positions whose vector has an even
+fixed vector of r + 1 bits; table v (each non-zero vector of r + 1 bits) keeps the positions whose vector has an odd
 product with v. The positions in which two fingerprints within the radius differ span at most r dimensions, so some v is
 orthogonal to all of them: that table keeps none of them and the pair collides there. No pair is missed.
 
@@ -65,10 +65,10 @@ def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 
 def masks(radius: int) -> list[int]:
-    """The kept bits of each table, as signed 64-bit numbers. Positions deal out the 2**(radius+1) vectors evenly."""
+    """The kept bits of each table, as signed 64-bit numbers. Positions deal out the non-zero vectors evenly."""
     size = 1 << (radius + 1)
-    own = [(i * 11 + 5) % size for i in range(BITS)]
-    kept = (sum(1 << i for i in range(BITS) if bin(own[i] & v).count("1") % 2 == 0) for v in range(1, size))
+    own = [i % (size - 1) + 1 for i in range(BITS)]
+    kept = (sum(1 << i for i in range(BITS) if (own[i] & v).bit_count() % 2) for v in range(1, size))
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in kept]
 
 
