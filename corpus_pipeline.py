@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm import langid, mixing, packing, secrets, simhash
-from strandlog.llm.common import table, written
+from strandlog.llm.common import small_batches, table, written
+
+#: Words that a worker remembers: fewer than packing alone may hold, as all stages share the workers.
+WORDS_HELD = 250_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
+    small_batches(spark)
     return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks."""
+    small_batches(spark)
     return mixing.mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
-    return packing.pack(docs)
+    small_batches(spark)
+    return packing.pack(docs, held=WORDS_HELD)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mix), ("packing", packed)]
