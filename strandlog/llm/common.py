@@ -49,6 +49,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer long texts in each Arrow batch, on both sides, where several stages share the executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; rows where it is 2 are held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -37,9 +37,10 @@ class Encoder:
     is encoded once and remembered. A text with white space of any other form is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = WORDS_HELD):
         from tokenizers import Tokenizer
 
+        self.held = held
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
@@ -96,7 +97,7 @@ class Encoder:
 
     def ids(self, some: list[str]) -> list[bytes]:
         parts = [self._parts(x) if x else [] for x in some]
-        if len(self.known) > WORDS_HELD:
+        if len(self.known) > self.held:
             self.known.clear()
         known = self.known
         self._learn({x for own in parts for x in own if x not in known})
@@ -109,10 +110,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
+def encoder(path: str, held: int = WORDS_HELD) -> Encoder:
+    """One for each Python worker and file, which remembers about `held` words."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].held = held
     return _encoders[path]
 
 
@@ -127,14 +129,14 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, held: int = WORDS_HELD) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small(whole):
                 row, out = [], []
-                for i, own in enumerate(encoder(path).ids(texts(batch.column(1)))):
+                for i, own in enumerate(encoder(path, held).ids(texts(batch.column(1)))):
                     ids = own + END_ID.to_bytes(4, "little")
                     for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(i)
@@ -241,8 +243,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(docs: DataFrame, path: str | None = None, **limits) -> DataFrame:
-    return packed(written(pieces(docs, path or vocabulary(), limits.get("capacity", CAPACITY))), **limits)
+def pack(docs: DataFrame, path: str | None = None, held: int = WORDS_HELD, **limits) -> DataFrame:
+    return packed(written(pieces(docs, path or vocabulary(), limits.get("capacity", CAPACITY), held)), **limits)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
