@@ -62,7 +62,7 @@ def offset(seed: int, source: str | None) -> float:
 
 
 def mixed_counts(sizes: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """sizes (doc_id, source, size, ...), a written table -> its columns and source_size, target, copies.
+    """sizes (doc_id, source, size, ...), a written table -> its columns and source_size, target, copies. Ties go by the further columns.
 
     The driver gets one row per source (sources are named feeds, not documents). Ranks come from one range partitioning: the
     place in the sorted partition, less the source's first place there, plus the source's rows in earlier partitions.
@@ -71,7 +71,7 @@ def mixed_counts(sizes: DataFrame, seed: int = 17, weights: tuple[int, ...] = WE
     targets = filled([r.n for r in totals], weights, share, most)
     plan = [(r.source, r.n, t, t / r.n if r.n else 0.0, offset(seed, r.source)) for r, t in zip(totals, targets, strict=True)]
     plan = sizes.sparkSession.createDataFrame(plan, "source string, source_size long, target double, rate double, u double")
-    key = [F.col("source"), F.col("size").desc(), F.col("doc_id")]
+    key = [F.col("source"), F.col("size").desc(), F.col("doc_id"), *(F.col(c) for c in sizes.columns if c not in ("doc_id", "source", "size"))]
     ranked = sizes.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id())
     ranked = written(ranked.withColumn("part", F.shiftright("place", 33)))
     runs = ranked.groupBy("source", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
@@ -109,9 +109,15 @@ from r join t on r.source is not distinct from t.source join offs on r.source is
 
 
 def mixture(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """docs with each row as often as the mix takes it. Columns as in docs."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "source", "text").alias("key"), "doc_id", "source", "text")
-    counts = mixed_counts(written(sized(rows.drop("row"), ["doc_id", "source", "key"])), seed)
-    counts = counts.groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    once = rows.select("row", "key").dropDuplicates(["key"])  # equal rows are one row with the sum of their copies
-    return once.join(counts, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """docs with each row as often as the mix takes it. Columns as in docs.
+
+    Rows are told apart by 128 bits of hash over all columns that Spark can hash (all but maps), and over which of them are null.
+    """
+    told = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    told += [x.isNull() for x in told]
+    keys = [F.xxhash64(*told).alias("_key"), F.xxhash64(F.lit(1), *told).alias("_key2")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys, "doc_id", "source", "text")
+    counts = mixed_counts(written(sized(rows.drop("_row"), ["doc_id", "source", "_key", "_key2"])), seed)
+    counts = counts.groupBy("_key", "_key2").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    once = rows.select("_row", "_key", "_key2").dropDuplicates(["_key", "_key2"])  # equal rows are one row with the sum of their copies
+    return once.join(counts, ["_key", "_key2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
