@@ -43,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mix), ("packing", packed)]
 
-#: No SQL expresses trained models, fingerprints and packing; tests/llm checks the stages one by one, and run() only for ids and reruns so far.
+#: No SQL expresses trained models, fingerprints and packing; tests/llm/test_pipeline.py holds the rows against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
