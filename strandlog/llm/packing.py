@@ -78,8 +78,8 @@ class Encoder:
                     other.add(word[len(stem) :])
             elif bare and not bare[0].isspace() and not bare[-1].isspace() or word == "\n":
                 other.add(word)
-        self._learn_letters(sorted(x for x in letters if x[0] == " "), "")
-        self._learn_letters(sorted(x for x in letters if x[0] != " "), "\n")
+        self._learn_letters([x for x in letters if x[0] == " "], "")
+        self._learn_letters([x for x in letters if x[0] != " "], "\n")
         known.update((x, self._encode(x)) for x in other)
         known.update((word, known[stem] + known[end]) for word, stem, end in ended)
 
@@ -100,11 +100,11 @@ class Encoder:
         if len(self.known) > self.held:
             self.known.clear()
         known = self.known
-        self._learn({x for own in parts for x in own if x not in known})
-        out = []
+        self._learn(set().union(*parts).difference(known))
+        out, said = [], known.__getitem__
         for text, own in zip(some, parts, strict=True):
             try:
-                out.append(b"".join([known[x] for x in own]))
+                out.append(b"".join(map(said, own)))
             except KeyError:  # white space of another form
                 out.append(self._encode(text))
         return out
