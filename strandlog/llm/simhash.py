@@ -157,7 +157,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies: the one whose doc_id names the class; rows without doc_id stay. Columns as in docs."""
+    """One row of each class of near copies: the one whose doc_id names the class; rows without doc_id stay. Columns as in docs.
+
+    Rows that share a doc_id are one document: any one of them stays, whatever their texts are.
+    """
     kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
     first = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return first.unionByName(docs.where("doc_id is null"))
