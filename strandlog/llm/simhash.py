@@ -159,10 +159,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies: the one whose doc_id names the class; rows without doc_id stay. Columns as in docs.
 
-    Rows that share a doc_id are one document: any one of them stays, whatever their texts are.
+    Rows that share a doc_id are one document: any one of them stays, whatever their texts are. The ids that go or repeat are a
+    written table, so Catalyst knows its size: below the broadcast threshold no text is shuffled, above it texts are joined by id.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
-
-
+    rows = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    own = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    odd = written(own.where("n > 1 or not names").select("doc_id", "names"))
+    single = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(odd.where("names").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.select(docs.columns).unionByName(repeated.select(docs.columns))
