@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,40 @@ def round_robin_assignment(topitions: DataFrame, members: DataFrame) -> DataFram
     return dealt.join(F.broadcast(turns), "turn").select("member", *TOPITION)
 
 
+def round_robin_by_subscription(topitions: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """topitions in order go around all members in order, passing those without a subscription to the topic; the turn moves on with each pass.
+
+    Each choice depends on the one before, so one task reads the topitions, a catalog's rows, in order; it keeps the members only.
+    A topic without members goes to nobody and moves no turn.
+    """
+    members = [r[0] for r in subscriptions.select("member").distinct().orderBy("member").collect()]  # one group's members
+    heard = subscriptions.groupBy("topic").agg(F.collect_set("member").alias("_heard"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = 0
+        for pdf in parts:
+            given = []
+            for heard_by in pdf["_heard"]:
+                own = set(heard_by)
+                while members[turn % len(members)] not in own:
+                    turn += 1
+                given.append(members[turn % len(members)])
+                turn += 1
+            yield pd.DataFrame({"member": given, "topic": pdf["topic"], "partition": pdf["partition"]})
+
+    rows = topitions.select(*TOPITION).join(F.broadcast(heard), "topic").repartition(1).sortWithinPartitions(*TOPITION)
+    return rows.mapInPandas(run, "member string, topic string, partition int")
+
+
+def assigned_by(strategy: str, topitions: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """An assignment by the strategy's name; uniform and cooperative-sticky deal as roundrobin does."""
+    if strategy == "range":
+        return range_assignment(topitions, subscriptions)
+    if strategy in ("roundrobin", "uniform", "cooperative-sticky"):
+        return round_robin_by_subscription(topitions, subscriptions)
+    raise ValueError(f"unknown strategy {strategy}")
+
+
 def lag(marks: DataFrame, committed: DataFrame) -> DataFrame:
     """Records that each group has not read yet."""
     return committed.join(marks.select(*TOPITION, "high"), TOPITION).select("group_id", *TOPITION, "committed", "high", (F.col("high") - F.col("committed")).alias("lag"))

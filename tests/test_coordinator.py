@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandlog.operators import coordinator
+from strandlog.operators import coordinator, groups
 
 P = ["range", "roundrobin"]
 #: kind, member, instance, generation, protocols, metadata, assigned, at_ms -> member, error, generation, leader, formed, members, assignment
@@ -58,3 +58,21 @@ def test_the_same_in_a_stream(spark, tmp_path, files):
     out = coordinator.answers_of_stream(stream).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert out.awaitTermination(120)
     assert told(spark.table("told").collect()) == [want for _, want in SCRIPT]
+
+
+def test_round_robin_passes_members_without_the_topic(spark):
+    topitions = spark.createDataFrame([(t, p) for t in ("a", "b", "c", "d") for p in range(3)], "topic string, partition int")
+    heard = {"a": "xyz", "b": "yz", "c": "x"}
+    subscriptions = spark.createDataFrame([(t, m) for t, ms in heard.items() for m in ms], "topic string, member string")
+    want, turn = [], 0
+    for t in "abc":
+        for p in range(3):
+            while "xyz"[turn % 3] not in heard[t]:
+                turn += 1
+            want.append(("xyz"[turn % 3], t, p))
+            turn += 1
+    for strategy in ("roundrobin", "uniform", "cooperative-sticky"):
+        assert sorted(map(tuple, groups.assigned_by(strategy, topitions, subscriptions).collect())) == sorted(want)
+    assert groups.assigned_by("range", topitions, subscriptions).where("topic = 'c'").collect() == [("x", "c", p) for p in range(3)]
+    with pytest.raises(ValueError, match="sticky"):
+        groups.assigned_by("sticky", topitions, subscriptions)
