@@ -3,8 +3,8 @@
 Each page's elements are merged with those of the same host by their path (tag and first class). A branch has two importances, both
 entropies over the host's pages: of its presentation (which children it has) and of its content (which text it holds). What looks and
 reads the same on all pages is a site's frame and has importance near 0; branches below `LEAST` are removed from each page. Elements that
-say what they are (navigation, footers, forms, scripts, classes such as "ad" or "comments") have importance 0, and article
-paragraphs have importance 1, so that copies of an article on a host are not taken for its frame.
+say what they are (navigation, footers, forms, scripts, classes such as "ad" or "comments") have importance 0, unless a class that says
+so is of an element with most of the article's text (of the page's, if no element is an article), and article paragraphs have importance 1, so that copies of an article on a host are not taken for its frame.
 
 Rows: null or empty html gives the empty text; broken markup is closed as browsers do; references are decoded; a null url is a host
 of its own name. Hosts with fewer than `LEAST_PAGES` pages have no tree and are judged by their elements. Repeated rows give repeated rows; extra columns are ignored.
@@ -30,7 +30,8 @@ LEAST, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
 MOST_BROADCAST, SALTS = 100_000, 32
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute after the other, name and value, so that no name is found inside a value.
+ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?|"[^"]*"|'[^']*'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is raw until their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes svg math template select object".split())
@@ -40,6 +41,14 @@ OUT = frozenset("nav footer aside form button menu dialog head fieldset".split()
 IN = frozenset("article main".split())
 #: Words in class, id or role that name what is not article.
 OUT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead notice cookie cookies consent popup modal overlay comment comments respond disqus related share sharing social newsletter subscribe signup login search pagination toolbar widget complementary contentinfo".split())
+#: Words that may stand beside those in a compound such as site-footer or comment-list; has-sidebar and entry-header are none.
+PLACES = frozenset("site page main global top bottom left right primary secondary area list section block box bar buttons links wrapper container".split())
+#: Names of a head, which an article may have as its own.
+HEADS = frozenset("header masthead banner".split())
+#: What readers and notices say is no article, however long, unless a page has nothing else.
+ASIDES = frozenset("ad ads comment comments respond disqus related cookie cookies consent".split())
+#: Elements whose id is an anchor made from their heading.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 PLAIN = frozenset("article main p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table tbody thead tr td th figure body html".split())
 #: A start tag ends an open element of its row, up to the nearest element that holds blocks.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,7 +65,8 @@ class Page:
         self.free: list[bool] = []  # may be removed by the tree
         self.style: list[int] = []
         self.content: list[int] = []
-        self.blocks: list[tuple[int, str, bool]] = []  # element kind, text, inside an article
+        self.blocks: list[tuple[int, str, bool, int]] = []  # element kind, text, inside an article, innermost element with a frame's name
+        self.named: list[tuple[int, bool]] = []  # of each element with a frame's name: the one around it or -1, of ASIDES
         self.last: dict[int, int] = {}
         self.place: dict[tuple[int, str], int] = {}
         self._read(html)
@@ -78,8 +88,8 @@ class Page:
         return at
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, kind, dropped, in an article
-        kind, dropped, inside = -1, False, False
+        stack: list[tuple[str, int, bool, bool, int]] = []  # tag, kind, dropped, in an article, innermost element with a frame's name
+        kind, dropped, inside, frame = -1, False, False, -1
         text: list[str] = []
         at, size = 0, len(html)
 
@@ -93,7 +103,7 @@ class Page:
                         self.content[up] = (self.content[up] * 1_000_003 + own) % (1 << 61)
                         up = self.parent[up]
                     if not dropped:
-                        self.blocks.append((kind, said, inside))
+                        self.blocks.append((kind, said, inside, frame))
 
         while at < size:
             m = TOKEN.search(html, at)
@@ -113,7 +123,7 @@ class Page:
                         if tag not in INLINE:
                             flush()
                         del stack[k:]
-                        kind, dropped, inside = stack[-1][1:] if stack else (-1, False, False)
+                        kind, dropped, inside, frame = stack[-1][1:] if stack else (-1, False, False, -1)
                         break
                     if tag in INLINE and stack[k][0] not in INLINE or tag == "p" and stack[k][0] in SCOPE:
                         break
@@ -128,14 +138,14 @@ class Page:
                 continue
             if tag in INLINE:
                 if m[3] and not dropped:
-                    names, hidden = self._names(m[3])
-                    if hidden or names & OUT_NAMES:
+                    names, hidden, out = self._names(m[3], tag, inside)
+                    if hidden or out and not any(x[0] in ("pre", "code") for x in stack):  # highlighted code has comments of its own
                         flush()
-                        kind_ = self._kind(kind, f"{tag}.{'.'.join(sorted(names))}", tag)
-                        stack.append((tag, kind_, True, inside))
-                        kind, dropped = kind_, True
-                        continue
-                stack.append((tag, kind, dropped, inside))
+                        kind = self._kind(kind, f"{tag}.{'.'.join(sorted(names))}", tag)
+                        dropped = hidden
+                        if not hidden:
+                            frame = self._frame(frame, out)
+                stack.append((tag, kind, dropped, inside, frame))
                 continue
             flush()
             ends = ENDS.get(tag)
@@ -148,35 +158,71 @@ class Page:
                     break
             while stack and stack[-1][0] in INLINE and tag in SCOPE:
                 stack.pop()
-            kind, dropped, inside = stack[-1][1:] if stack else (-1, False, False)
-            names, hidden = self._names(m[3]) if m[3] else (frozenset(), False)
+            kind, dropped, inside, frame = stack[-1][1:] if stack else (-1, False, False, -1)
+            names, hidden, out = self._names(m[3], tag, inside) if m[3] else (frozenset(), False, frozenset())
             first = min(names) if names else ""
             kind = self._kind(kind, f"{tag}.{first}", tag)
-            inside = inside or tag in IN or "main" in names
-            dropped = dropped or hidden or tag in OUT or (tag == "header" and not inside) or tag not in ("body", "html", "main") and bool(names & OUT_NAMES) and not (tag == "article" and not names & {"comment", "comments", "ad", "related"})
+            inside = inside or tag in IN or "main" in names and not out
+            dropped = dropped or hidden or tag in OUT or (tag == "header" and not inside)
+            if out and not dropped and tag not in ("body", "html", "main") and not (tag == "article" and not out & {"comment", "comments", "ad", "related"}):
+                frame = self._frame(frame, out)
             if m[3].endswith("/") and tag not in SCOPE:
-                kind, dropped, inside = stack[-1][1:] if stack else (-1, False, False)
+                kind, dropped, inside, frame = stack[-1][1:] if stack else (-1, False, False, -1)
                 continue
-            stack.append((tag, kind, dropped, inside))
+            stack.append((tag, kind, dropped, inside, frame))
         flush()
 
     @staticmethod
-    def _names(attributes: str) -> tuple[frozenset[str], bool]:
-        """Words of class, id and role; whether the element is hidden."""
+    def _names(attributes: str, tag: str, inside: bool) -> tuple[frozenset[str], bool, frozenset[str]]:
+        """Words of class, id and role; whether the element is hidden; the words of OUT_NAMES that name it as a whole."""
         names: set[str] = set()
+        out: set[str] = set()
         hidden = False
         for a in ATTRIBUTE.finditer(attributes):
-            key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
+            key, value = (a[1] or "").lower(), (a[2] or "").strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 hidden = True
             elif key in ("class", "id", "role"):
                 names.update(NAME.findall(value))
-        return frozenset(names), hidden
+                if key == "id" and tag in ANCHORED:
+                    continue
+                for token in value.split():
+                    parts = frozenset(NAME.findall(token))
+                    own = parts & OUT_NAMES
+                    if own and parts <= OUT_NAMES | PLACES and not (inside and own <= HEADS):
+                        out |= own
+        return frozenset(names), hidden, frozenset(out)
+
+    def _frame(self, around: int, out: frozenset[str]) -> int:
+        self.named.append((around, bool(out & ASIDES)))
+        return len(self.named) - 1
 
     def kept(self) -> list[tuple[int, str]]:
-        """The blocks of articles if there are any, else all blocks."""
-        inside = [(k, t) for k, t, own in self.blocks if own]
-        return inside or [(k, t) for k, t, _ in self.blocks]
+        """The blocks of articles if there are any, else all blocks. A name takes no element with most of that text."""
+        blocks = self._unframed() if self.named else self.blocks
+        inside = [x[:2] for x in blocks if x[2]]
+        return inside or [x[:2] for x in blocks]
+
+    def _unframed(self) -> list[tuple[int, str, bool, int]]:
+        aside: list[bool] = []  # it or one around it; those around come first
+        for up, own in self.named:
+            aside.append(own or up >= 0 and aside[up])
+        said = [x for x in self.blocks if x[3] < 0 or not aside[x[3]]]
+        if not said:
+            return self.blocks
+        said = [x for x in said if x[2]] or said
+        size = [0] * len(self.named)
+        for _, text, _, frame in said:
+            if frame >= 0:
+                size[frame] += len(text)
+        for k in range(len(size) - 1, -1, -1):
+            if self.named[k][0] >= 0:
+                size[self.named[k][0]] += size[k]
+        total = sum(len(x[1]) for x in said)
+        out: list[bool] = []
+        for k, (up, _) in enumerate(self.named):
+            out.append(up >= 0 and out[up] or aside[k] or 2 * size[k] <= total)
+        return [x for x in self.blocks if x[3] < 0 or not out[x[3]]]
 
 
 def host_of(url: str) -> str:

@@ -303,3 +303,17 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in rows} == {r.doc_id for r in own.select("doc_id").collect()}
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in rows) == sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in again)
+
+
+@pytest.mark.parametrize("page", [
+    '<body style="overflow-x:hidden"><p>{}</p></body>',
+    '<body><div title="a hidden valley" data-id="ad"><p><a href="/hidden/path">{}</a></p></div></body>',
+    '<body><div class="site has-sidebar"><article><div class="entry-header"><h1>{}</h1></div></article><div class="sidebar">no</div></div></body>',
+    '<body><div class="site no-sidebar"><p>{}</p></div><div class="site-footer">no</div></body>',
+    '<body><div class="widget"><article><h2 id="search">{}</h2><div class="comment-list">no, said at great length by a reader of the page</div></article></div></body>',
+    '<body><div class="sidebar"><p>{}</p></div><div class="menu">no</div><p hidden>no</p></body>',
+    '<body><article><pre>{} <span class="token comment"># kept</span></pre></article></body>',
+])
+def test_html_names_leave_the_article(page):
+    said = " ".join(t for _, t in html_text.Page(page.format("The main text")).kept())
+    assert said == "The main text" + " # kept" * ("# kept" in page)
