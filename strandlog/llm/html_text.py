@@ -4,10 +4,11 @@ Each page's elements are merged with those of the same host by their path (tag a
 entropies over the host's pages: of its presentation (which children it has) and of its content (which text it holds). What looks and
 reads the same on all pages is a site's frame and has importance near 0; branches below `LEAST` are removed from each page. Elements that
 say what they are (navigation, footers, forms, scripts, classes such as "ad" or "comments") have importance 0, unless a class that says
-so is of an element with most of the article's text (of the page's, if no element is an article), and article paragraphs have importance 1, so that copies of an article on a host are not taken for its frame.
+so is of an element with most of the article's text (of the page's, if no element is an article), and article paragraphs have importance 1, as has every branch that holds one or most of an article's text. Pages of a host with the same text count
+once, so that copies of an article, declared as one or not, are not taken for the host's frame.
 
 Rows: null or empty html gives the empty text; broken markup is closed as browsers do; references are decoded; a null url is a host
-of its own name. Hosts with fewer than `LEAST_PAGES` pages have no tree and are judged by their elements. Repeated rows give repeated rows; extra columns are ignored.
+of its own name. Hosts with fewer than `LEAST_PAGES` pages of different text have no tree and are judged by their elements. Repeated rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -201,8 +203,19 @@ class Page:
         """The blocks of articles if there are any, else all blocks. A name takes no element with most of that text."""
         blocks = self._unframed() if self.named else self.blocks
         inside = [x[:2] for x in blocks if x[2]]
+        self._hold(inside)
         return inside or [x[:2] for x in blocks]
 
+    def _hold(self, article: list[tuple[int, str]]) -> None:
+        """No branch with a paragraph of an article, or with most of its text, may be removed by the tree."""
+        size, total = [0] * len(self.path), sum(len(t) for _, t in article)
+        for kind, said in article:
+            size[kind] += len(said) if self.free[kind] else total + 1
+        for k in range(len(size) - 1, -1, -1):  # those above come first
+            self.free[k] = self.free[k] and 2 * size[k] <= total
+            if self.parent[k] >= 0:
+                size[self.parent[k]] += size[k]
+
     def _unframed(self) -> list[tuple[int, str, bool, int]]:
         aside: list[bool] = []  # it or one around it; those around come first
         for up, own in self.named:
@@ -232,32 +245,52 @@ def host_of(url: str) -> str:
         return ""
 
 
-PARSED = "page_id {}, url string, host string, nodes array<struct<path: long, style: long, content: long>>, above array<int>, blocks array<struct<node: int, text: string>>"
+PARSED = "page_id {}, url string, host string, said long, nodes array<struct<path: long, style: long, content: long>>, above array<int>, blocks array<struct<node: int, text: string>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> elements and blocks of each page."""
+    """pages (page_id, url, html) -> elements and blocks of each page, a hash of what they say and a number of the row."""
     node = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))
     block = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small(whole):
-                hosts, nodes, above, blocks = [], [], [], []
+                hosts, said, nodes, above, blocks = [], [], [], [], []
                 for url, html in zip(texts(batch.column(1)), texts(batch.column(2)), strict=True):
                     page = Page(html)
+                    kept = page.kept()
                     hosts.append(host_of(url))
+                    said.append(int.from_bytes(blake2b("\n".join(t for _, t in kept).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
                     nodes.append([{"path": p if f else -p - 1, "style": s, "content": c} for p, f, s, c in zip(page.path, page.free, page.style, page.content, strict=True)])
                     above.append(page.parent)
-                    blocks.append([{"node": k, "text": t} for k, t in page.kept()])
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(nodes, node), pa.array(above, pa.list_(pa.int32())), pa.array(blocks, block)], names=["page_id", "url", "host", "nodes", "above", "blocks"])
+                    blocks.append([{"node": k, "text": t} for k, t in kept])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(said, pa.int64()), pa.array(nodes, node), pa.array(above, pa.list_(pa.int32())), pa.array(blocks, block)], names=["page_id", "url", "host", "said", "nodes", "above", "blocks"])
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, PARSED.format(dict(rows.dtypes)["page_id"]))
+    return rows.mapInArrow(run, PARSED.format(dict(rows.dtypes)["page_id"])).withColumn("row", F.monotonically_increasing_id())
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "row", F.lit(5)), F.lit(SALTS)).cast("int"))
+
+
+def every_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def distinct_pages(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Written pages -> one of those of a host that say the same."""
+    again = written(pages.groupBy("host", "said").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    if again.count() <= most_broadcast:
+        both = pages.join(F.broadcast(again), ["host", "said"], "left")
+    else:
+        both = salted(pages).join(every_salt(again), ["host", "said", "salt"], "left")
+    return both.where("first is null or first = row")
 
 
 def low_branches(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """parsed pages -> (host, path) of the branches to remove. Counts are combined before each shuffle."""
+    """Distinct parsed pages -> (host, path) of the branches to remove. Counts are combined before each shuffle."""
     node = pages.select("host", F.explode("nodes").alias("node")).select("host", "node.*").where("path >= 0")
 
     def entropy(of: str) -> DataFrame:
@@ -282,7 +315,7 @@ def _joined(node: list[dict], above: list[int], blocks: list[dict], low: set[int
 def extracted(pages: DataFrame, least: float = LEAST, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     own = written(parsed(pages))
-    low = written(low_branches(own, least))
+    low = written(low_branches(distinct_pages(own, most_broadcast), least))
     id_type = dict(own.dtypes)["page_id"]
     if low.count() <= most_broadcast:
         sets: dict[str, set[int]] = {}
@@ -292,8 +325,8 @@ def extracted(pages: DataFrame, least: float = LEAST, most_broadcast: int = MOST
         rows = own
     else:
         shared = None
-        of_host = low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = own.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(SALTS)).cast("int")).join(of_host, ["host", "salt"], "left").drop("salt")
+        of_host = every_salt(low.groupBy("host").agg(F.collect_set("path").alias("low")))
+        rows = salted(own).join(of_host, ["host", "salt"], "left").drop("salt")
     rows = rows.select("page_id", "url", "host", "nodes", "above", "blocks", *([] if shared else [F.col("low")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -317,3 +317,16 @@ def test_pipeline(spark, docs, tmp_path):
 def test_html_names_leave_the_article(page):
     said = " ".join(t for _, t in html_text.Page(page.format("The main text")).kept())
     assert said == "The main text" + " # kept" * ("# kept" in page)
+
+
+def test_html_keeps_articles_with_many_copies(spark):
+    """A host's copies of one article, with or without an element that says so, and near copies, aren't taken for its frame."""
+    page = "<body><div class='frame'><p>All rights.</p></div>{}</body>"
+    own = "<{0}><h1>Head {1}</h1><div class='body'><p>Text {1}</p></div></{0}>"
+    pages = [(1000 * h + i, f"http://h{h}.example/{i}", page.format(own.format(tag, 0 if i < 30 else i))) for h, tag in enumerate(("article", "div")) for i in range(40)]
+    pages += [(2000 + i, "http://h2.example/", page.format(f"<article><h1>{i}</h1><div class='body'>{'The same' if i < 38 else 'Other'} text</div></article>")) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = {1000 * h + i: "Head {0} Text {0}".format(0 if i < 30 else i) for h in range(2) for i in range(40)}
+    want |= {2000 + i: f"{i} {'The same' if i < 38 else 'Other'} text" for i in range(40)}
+    for most in (html_text.MOST_BROADCAST, 0):
+        assert {r.page_id: r.text for r in html_text.extracted(df, most_broadcast=most).collect()} == want
