@@ -5,7 +5,8 @@ pieces that continue one. Both tries are joined at a node from which continuatio
 matching goes on from after popping whole pieces, and the number of pieces popped on the way, so a word is counted in one pass
 over its bytes and no piece is built. A word that the pieces can't cover counts as one token.
 
-The vocabulary is a byte-level one whose word starts carry a leading space mark; it is read from a tokenizer file (a parameter).
+The vocabulary is a byte-level one whose word starts carry a leading space mark. A word that no longer piece starts begins with the mark
+alone, the empty start, which is one token, and goes on with continuations; with all single bytes every word is covered. It is read from a tokenizer file (a parameter).
 Rows: a null or empty text has 0 tokens. Repeated rows are counted each; extra columns are ignored; whole texts are read.
 """
 
@@ -39,11 +40,11 @@ def load(path: str) -> tuple[list[bytes], list[bytes]]:
     with open(path, encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
     pieces = [bytes(turn[c] for c in x) for x in names if all(c in turn for c in x)]
-    return [x[1:] for x in pieces if x[:1] == b" " and len(x) > 1], [x for x in pieces if x[:1] != b" "]
+    return [x[1:] for x in pieces if x[:1] == b" "], [x for x in pieces if x[:1] != b" "]
 
 
 class Automaton:
-    """step: (node << 8 | byte) -> node. A node spells bytes since the last popped piece."""
+    """step: (node << 8 | byte) -> node. A node spells bytes since the last popped piece. An empty start is the space mark alone."""
 
     def __init__(self, starts: Iterable[bytes], more: Iterable[bytes]):
         self.step: dict[int, int] = {}
@@ -64,6 +65,8 @@ class Automaton:
                 whole[node] = True
         n = len(whole)
         self.fail, self.popped = [-1] * n, [0] * n  # -1: no way on
+        if whole[self.root]:
+            self.fail[self.root], self.popped[self.root] = self.rest, 1
         todo = deque([self.root, self.rest])
         while todo:
             node = todo.popleft()
@@ -94,18 +97,17 @@ class Automaton:
             node = fail[node]
             if node < 0:
                 return 1 if word else 0
-        return out
+        return out if word else 0
 
 
 def greedy(word: bytes, starts: set[bytes], more: set[bytes]) -> int:
     """The same by trying lengths from long to short: the test's measure."""
-    at, out = 0, 0
+    at, out, pieces = 0, 0, starts
     while at < len(word):
-        pieces = more if at else starts
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+        end = next((e for e in range(len(word), at - (pieces is starts), -1) if word[at:e] in pieces), None)
         if end is None:
             return 1
-        at, out = end, out + 1
+        at, out, pieces = end, out + 1, more
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 import zlib
@@ -330,3 +331,30 @@ def test_html_keeps_articles_with_many_copies(spark):
     want |= {2000 + i: f"{i} {'The same' if i < 38 else 'Other'} text" for i in range(40)}
     for most in (html_text.MOST_BROADCAST, 0):
         assert {r.page_id: r.text for r in html_text.extracted(df, most_broadcast=most).collect()} == want
+
+
+def test_word_pieces_cover_words_without_a_start_of_their_own():
+    """The measure here is built on the vocabulary itself: the space mark is a byte like any other."""
+    turn = wordpiece.byte_of()
+    with open(packing.vocabulary(), encoding="utf-8") as f:
+        pieces = {bytes(turn[c] for c in x) for x in json.load(f)["model"]["vocab"] if all(c in turn for c in x)}
+    auto = wordpiece.Automaton(*wordpiece.load(packing.vocabulary()))
+
+    def longest(word):
+        at, out, said = 0, 0, b" " + word
+        while at < len(said):
+            at = next(e for e in range(len(said), at, -1) if said[at:e] in pieces)
+            out += 1
+        return out
+
+    draw = random.Random(12)
+    words = ["слово", "русский", "собака", "한국어", "हिन्दी", "ภาษาไทย", "一个没有空格的段落" * 20, "the", "naïve", "x" * 300]
+    words = [w.encode() for w in words] + [bytes(b for b in draw.randbytes(draw.randint(1, 12)) if b not in b" \t\n\x0b\f\r") for _ in range(500)]
+    assert [auto.count(w) for w in words if w] == [longest(w) for w in words if w]
+    assert auto.count("русский".encode()) > 1 and auto.count(b"") == 0
+    for _ in range(150):
+        starts, more = ({"".join(draw.choices("abc", k=draw.randint(1, 4))).encode() for _ in range(draw.randint(1, 8))} for _ in range(2))
+        auto = wordpiece.Automaton([*sorted(starts), b""], sorted(more))
+        for _ in range(60):
+            word = "".join(draw.choices("abc", k=draw.randint(1, 10))).encode()
+            assert auto.count(word) == wordpiece.greedy(word, starts | {b""}, more), (word, starts, more)
