@@ -358,3 +358,29 @@ def test_word_pieces_cover_words_without_a_start_of_their_own():
         for _ in range(60):
             word = "".join(draw.choices("abc", k=draw.randint(1, 10))).encode()
             assert auto.count(word) == wordpiece.greedy(word, starts | {b""}, more), (word, starts, more)
+
+
+def test_secrets_joined_to_words():
+    """Random strings are found after words joined by / = - _, beside a pattern's span and without digits; words of no sample aren't."""
+    ratio, draw = secrets.Ratio(secrets.samples()), random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    own = lambda n, of=letters + "0123456789": "".join(draw.choices(of, k=n))
+    for before, make in [
+        ("client_account_key_value=", lambda: own(24)),
+        ("/request/source/data/object/list/", lambda: own(24)),
+        ("https://files.example.com/user/account/data/index/", lambda: own(24)),
+        ("user-name-value-index-count-total-", lambda: own(20)),
+        ("", lambda: own(24, letters)),
+        ("AKIA" + "Q7" * 8 + "/", lambda: own(40)),
+    ]:
+        whole = 0
+        for _ in range(200):
+            secret = make()
+            random_ = [(a, b) for a, k, b in secrets.scan(before + secret, ratio)[1] if k == 3]
+            whole += any(a <= len(before) and b == len(before) + len(secret) for a, b in random_)
+        assert whole >= 190, (before, whole)
+    a, b = own(24), own(24)
+    text = f"user_name={a}/client/request/response/list/result/{b}"
+    assert [text[x:y] for x, k, y in secrets.scan(text, ratio)[1] if k == 3] == [a, b]
+    plain = "umbrella_carpenter_lemonade wonderful-morning-sunlight/kitchenTableCloth -----------------Chapter ==================== com/pytest-dev/pytest/issues donaudampfschifffahrtsgesellschaft"
+    assert secrets.scan(plain, ratio)[1] == []
