@@ -157,14 +157,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies: the one whose doc_id names the class; rows without doc_id stay. Columns as in docs.
+    """One row of each class of near copies: the one with the least doc_id; rows without doc_id stay. Columns as in docs.
 
-    Rows that share a doc_id are one document: any one of them stays, whatever their texts are. The ids that go or repeat are a
-    written table, so Catalyst knows its size: below the broadcast threshold no text is shuffled, above it texts are joined by id.
+    A row is known by its doc_id and a hash of its text: of rows that share a doc_id but not their text each belongs to its own class,
+    which keeps the one with the least hash if the id is its least. Rows with the same id and text are one document, of which the row with
+    the least hash of all columns stays. The ids that go or repeat are a written table, so Catalyst knows its size: below the broadcast
+    threshold no text is shuffled, above it texts are joined by id.
     """
-    rows = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
-    own = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
-    odd = written(own.where("n > 1 or not names").select("doc_id", "names"))
+    key = ["doc_id", "_sign"]
+    signed = docs.withColumn("_sign", F.xxhash64("text"))
+    known = signed.select(F.when(F.col("doc_id").isNotNull(), F.struct(*key)).alias("doc_id"), "text")
+    rows = near_duplicates(known).where("doc_id is not null")
+    own = rows.groupBy("doc_id.doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    odd = written(own.where("n > 1 or not names").select("doc_id", F.expr("names and n > 1").alias("several")))
     single = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(odd.where("names").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    several = odd.where("several").select("doc_id")
+    names = written(rows.where("doc_id = component_id").select("doc_id.*").join(several, "doc_id", "left_semi").distinct())
+    again = signed.join(names, key, "left_semi").select(*key, F.struct(*docs.columns).alias("row"))
+    repeated = again.groupBy(*key).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
     return single.select(docs.columns).unionByName(repeated.select(docs.columns))

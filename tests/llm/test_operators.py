@@ -384,3 +384,15 @@ def test_secrets_joined_to_words():
     assert [text[x:y] for x, k, y in secrets.scan(text, ratio)[1] if k == 3] == [a, b]
     plain = "umbrella_carpenter_lemonade wonderful-morning-sunlight/kitchenTableCloth -----------------Chapter ==================== com/pytest-dev/pytest/issues donaudampfschifffahrtsgesellschaft"
     assert secrets.scan(plain, ratio)[1] == []
+
+
+def test_dedup_of_rows_that_share_an_id(spark):
+    """Each class keeps a row of its own though an id names rows of several, and reruns keep the same."""
+    draw = random.Random(31)
+    a, b, c, d = (prose(draw, [f"{w}{k}" for w in EN for k in range(20)], 60) for _ in range(4))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (6, b, "x"), (7, c, "x"), (7, d, "x"), (8, d, "y"), (9, None, "x"), (9, None, "w"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(tuple, simhash.deduplicated(df.repartition(n)).collect()), key=str) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    assert [r for r in runs[0] if r[0] != 9] == sorted([(1, a, "x"), (5, b, "z"), (7, c, "x"), (7, d, "x"), (None, a, "x"), (None, a, "x")], key=str)
+    assert len([r for r in runs[0] if r[0] == 9]) == 1
