@@ -5,15 +5,18 @@ tokens, pieces ("documents") and attention cost (sum of squared lengths). A piec
 pieces of one length are interchangeable: the driver packs the histogram of lengths (at most `capacity` counters, whatever the number of
 documents) and gets patterns, each with a number of bins; pieces then find their slots by their rank among pieces of their length.
 Lengths go from large to small; among the bin classes with room under every capacity the one with the best score is taken:
-"dot" weighs demand against residual (largest weighted dot product of what stays unused is worst), "norm" takes the least
-weighted norm of the residual after placement.
+"dot" takes the bin whose residual is best aligned with the demand (greatest weighted dot product over the residual's norm), "norm" the
+bin with the least weighted norm of the residual after placement.
 
 Rows: a null text is empty and has the end id only, so every document has a piece. Repeated rows are packed each.
-An empty table gives an empty result. Extra columns are ignored.
+An empty table gives an empty result. Extra columns are ignored. Texts of any length are encoded whole. Pieces of one length are ranked by
+doc_id, piece and then their further columns; rows equal in all of these can change places, which changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,97 +27,64 @@ from pyspark.sql import functions as F
 
 from .common import small, table, texts, written
 
-CAPACITY, END_ID, WORDS_HELD = 2048, 0, 700_000
-#: Characters that end a word of letters and make a pre-token of their own (an apostrophe may begin a contraction).
-ENDINGS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CAPACITY, END_ID, MOST_PIECES = 2048, 0, 64
+#: White space characters in a row from which on the library encodes a text, as the faster encoder's pattern may recurse too deep on them.
+LONG_RUN = 50_000
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """ids of whole texts as little-endian 32-bit numbers, by a byte-level BPE of the tokenizers library.
+    """ids of whole texts as little-endian 32-bit numbers, by a tokenizer file of the tokenizers library.
 
-    Such a tokenizer starts a new pre-token at each single space or line feed that stands between two other characters, so what lies between
-    is encoded once and remembered. A text with white space of any other form is encoded as a whole.
+    If the file is a plain byte-level BPE whose ids stand in the order of its merges, tiktoken gives the same ids several times faster: the
+    pair with the least merge is the pair whose union has the least id. The library itself encodes texts of any other file, texts that hold an
+    added token, and texts with very long runs of white space.
     """
 
-    def __init__(self, path: str, held: int = WORDS_HELD):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.held = held
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_letters(self, words: list[str], lead: str) -> None:
-        """Words of letters only (with their space, if they have one) are one pre-token each, so one call encodes all of them."""
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
-            said = self.tokenizer.encode(lead + lead.join(some), add_special_tokens=False)
-            ids, own = np.array(said.ids, "<u4"), np.array(said.word_ids)
-            each = 1 + bool(lead)
-            if len(own) and own[-1] + 1 == each * len(some):
-                edges = np.searchsorted(own, np.arange(each * len(some) + 1))
-                for word, x, y in zip(some, edges[each - 1 : -1 : each].tolist(), edges[each::each].tolist(), strict=True):
-                    self.known[word] = ids[x:y].tobytes()
-            else:  # the library sees other letters than Python does
-                self.known.update((x, self._encode(x)) for x in some)
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode unknown words. Those with white space at an end, or empty, stay unknown."""
-        known, letters, ended, other = self.known, set(), [], set()
-        for word in words:
-            bare = word[1:] if word[:1] == " " else word
-            if bare.isalpha():
-                letters.add(word)
-                continue
-            stem = word.rstrip(ENDINGS)
-            if stem != word and (stem[1:] if stem[:1] == " " else stem).isalpha():
-                ended.append((word, stem, word[len(stem) :]))
-                if stem not in known:
-                    letters.add(stem)
-                if word[len(stem) :] not in known:
-                    other.add(word[len(stem) :])
-            elif bare and not bare[0].isspace() and not bare[-1].isspace() or word == "\n":
-                other.add(word)
-        self._learn_letters([x for x in letters if x[0] == " "], "")
-        self._learn_letters([x for x in letters if x[0] != " "], "\n")
-        known.update((x, self._encode(x)) for x in other)
-        known.update((word, known[stem] + known[end]) for word, stem, end in ended)
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """What lies between cuts: words with their leading space, but at a line's start, and the line feeds."""
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.added = [x["content"] for x in said.get("added_tokens") or []]
+        self.fast = _ranked(said, set(self.added))
+        self.run = re.compile(rf"\s{{{LONG_RUN}}}")
+
+    def one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.fast is None or any(x in text for x in self.added) or len(text) >= LONG_RUN and self.run.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, some: list[str]) -> list[bytes]:
-        parts = [self._parts(x) if x else [] for x in some]
-        if len(self.known) > self.held:
-            self.known.clear()
-        known = self.known
-        self._learn(set().union(*parts).difference(known))
-        out, said = [], known.__getitem__
-        for text, own in zip(some, parts, strict=True):
-            try:
-                out.append(b"".join(map(said, own)))
-            except KeyError:  # white space of another form
-                out.append(self._encode(text))
-        return out
-
-
-def encoder(path: str, held: int = WORDS_HELD) -> Encoder:
-    """One for each Python worker and file, which remembers about `held` words."""
+        return [self.one(x) for x in some]
+
+
+def _ranked(said: dict, added: set[str]):
+    """The tokenizer file's model for tiktoken; None if it is no plain byte-level BPE in the order of its merges."""
+    import public_tokenizers
+    import tiktoken
+
+    model, before = said["model"], said.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or said.get("normalizer") or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab.get("".join(x.split(" ") if isinstance(x, str) else x), -1) for x in model["merges"]]
+    if len(merged) + 256 != len(set(vocab) - added) or min(merged, default=256) < 256 or any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others are numbered from 256 on
+    of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {bytes(of[c] for c in x): i for x, i in vocab.items() if x not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    _encoders[path].held = held
     return _encoders[path]
 
 
@@ -129,14 +99,14 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, held: int = WORDS_HELD) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small(whole):
                 row, out = [], []
-                for i, own in enumerate(encoder(path, held).ids(texts(batch.column(1)))):
+                for i, own in enumerate(encoder(path).ids(texts(batch.column(1)))):
                     ids = own + END_ID.to_bytes(4, "little")
                     for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(i)
@@ -148,13 +118,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, held: int = WOR
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {PIECE}")
 
 
-def patterns(counts: dict[int, int], capacity: int = CAPACITY, most_pieces: int = CAPACITY, most_cost: float = float(CAPACITY) ** 2, weights: tuple[float, float, float] = (1.0, 0.05, 0.2), score: str = "norm") -> list[tuple[int, list[tuple[int, int]]]]:
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, most_pieces: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.2), score: str = "norm") -> list[tuple[int, list[tuple[int, int]]]]:
     """counts (length -> pieces) -> [(bins, [(length, pieces in each bin), ...]), ...]; every piece has a place, no capacity is exceeded.
 
+    most_pieces: by default MOST_PIECES, or twice what a sequence holds on average, if that is more, so that the limit holds tiny pieces apart
+    but asks for no further bins. most_cost: by default what one piece of full length costs, the least that leaves room for it.
+
     Every step empties a length or a class of equal bins or opens new bins of one kind, so the list is as long as the number
     of lengths allows, not the number of pieces.
     """
-    caps, w = np.array([capacity, most_pieces, most_cost], float), np.array(weights)
+    if most_pieces is None:
+        full = -(-sum(k * n for k, n in counts.items()) // capacity)
+        most_pieces = max(MOST_PIECES, 2 * -(-sum(counts.values()) // max(full, 1)))
+    caps, w = np.array([capacity, most_pieces, float(capacity) ** 2 if most_cost is None else most_cost], float), np.array(weights)
     room = np.zeros((0, 3))
     number = np.zeros(0, np.int64)
     held: list[tuple[tuple[int, int], ...]] = []
@@ -166,7 +142,11 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY, most_pieces: int
             fits = np.flatnonzero((number > 0) & (room >= demand).all(axis=1))
             if len(fits):
                 free = (room[fits] - demand) / caps
-                value = (w * free**2).sum(axis=1) if score == "norm" else (w * free * (demand / caps)).sum(axis=1)
+                if score == "norm":
+                    value = (w * free**2).sum(axis=1)
+                else:
+                    left_in = room[fits] / caps
+                    value = -(w * left_in * (demand / caps)).sum(axis=1) / np.sqrt((w * left_in**2).sum(axis=1))
                 best = int(fits[np.argmin(value)])
                 base, bins, had = room[best], int(number[best]), held[best]
             else:
@@ -200,22 +180,23 @@ def slots(found: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, dict[str,
     return {k: dict(zip(("rank", "bin", "each", "offset"), np.array(v, np.int64).T, strict=True)) for k, v in out.items()}
 
 
-def packed(cuts: DataFrame, buckets: int | None = None, **limits) -> DataFrame:
+def packed(cuts: DataFrame, **limits) -> DataFrame:
     """cuts (doc_id, piece, length, ...), a written table -> its columns, sequence_id and offset.
 
-    A piece's rank: its row number in (length, bucket of the doc_id's hash) plus the rows of that length in earlier buckets. Buckets
-    keep a common length from being one task.
+    A piece's rank among those of its length: its place in one range partitioning by length, id and piece, less the length's first place
+    in that partition, plus its rows in earlier partitions. So a common length is spread over tasks, and what is broadcast has one row for
+    each partition and one more for each length.
     """
-    if buckets is None:
-        buckets = max(16, cuts.count() // 20_000)
-    rows = cuts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(buckets)).cast("int"))
-    tally = written(rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n")))
-    before = tally.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    plan = rows.sparkSession.sparkContext.broadcast(slots(patterns(counts, **limits)))
-    numbered = rows.withColumn("_own", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
-    ranked = numbered.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_own") + F.col("_before"))
-    ranked = ranked.select(*cuts.columns, "_rank")
+    spark = cuts.sparkSession
+    key = [F.col("length"), F.col("doc_id"), F.col("piece"), *(F.col(c) for c in cuts.columns if c not in ("length", "doc_id", "piece"))]
+    placed = cuts.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_place", 33)))
+    runs = placed.groupBy("length", "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    runs = written(runs.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")))
+    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    plan = spark.sparkContext.broadcast(slots(patterns(counts, **limits)))
+    ranked = placed.join(F.broadcast(runs.drop("_n")), ["length", "_part"])
+    ranked = ranked.select(*cuts.columns, (F.col("_place") - F.col("_first") + F.col("_before")).alias("_rank"))
     at = cuts.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +224,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(docs: DataFrame, path: str | None = None, held: int = WORDS_HELD, **limits) -> DataFrame:
-    return packed(written(pieces(docs, path or vocabulary(), limits.get("capacity", CAPACITY), held)), **limits)
+def pack(docs: DataFrame, path: str | None = None, **limits) -> DataFrame:
+    return packed(written(pieces(docs, path or vocabulary(), limits.get("capacity", CAPACITY))), **limits)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

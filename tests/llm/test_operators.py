@@ -157,6 +157,28 @@ def test_patterns_hold_every_capacity():
             for n, k in held:
                 got[n] = got.get(n, 0) + bins * k
         assert got == counts
+    tiny = packing.patterns({1: 10_000, 2048: 3})
+    assert max(sum(k for _, k in h) for _, h in tiny) <= 2 * 1250 and sum(n for n, _ in tiny) <= 3 + 10_000 // 1250 + 1
+    assert {h for _, held in packing.patterns({5: 100, 1000: 100}) for h in held} and all(sum(k for _, k in h) <= 64 for _, h in packing.patterns({5: 100, 1000: 100}))
+
+
+def test_ranked_encoder_only_where_it_fits(tmp_path):
+    """A file in another order of ids, or of another kind, is left to the library."""
+    with open(packing.vocabulary(), encoding="utf-8") as f:
+        said = json.load(f)
+    assert packing._ranked(said, {"<|endoftext|>"}) is not None
+    swap = dict(said["model"]["vocab"])
+    a, b = "".join(said["model"]["merges"][0]).replace(" ", ""), "".join(said["model"]["merges"][1]).replace(" ", "")
+    swap[a], swap[b] = swap[b], swap[a]
+    assert packing._ranked(said | {"model": said["model"] | {"vocab": swap}}, {"<|endoftext|>"}) is None
+    assert packing._ranked(said | {"normalizer": {"type": "Lowercase"}}, {"<|endoftext|>"}) is None
+    at = tmp_path / "own.json"
+    at.write_text(json.dumps(said | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    own = packing.Encoder(str(at))
+    assert own.one("Some WORDS") == own.one("some words") == packing.Encoder(packing.vocabulary()).one("some words")
+    long = "x" + " " * 60_000 + "y\n" * 40_000
+    plain = packing.Encoder(packing.vocabulary())
+    assert plain.one(long) == np.array(plain.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_language(docs, none):
