@@ -1,10 +1,13 @@
 """Each operator against brute force or known answers, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import collections
 import hashlib
 import html
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -328,6 +331,117 @@ def test_pipeline(spark, docs, tmp_path):
     assert sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in rows) == sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in again)
 
 
+def own_text(page):
+    """What the elements' tags and names leave of a page, without a tree."""
+    return " ".join(t for _, t, own in html_text.Page(page).judged()[0] if own)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>start <a href=/o'brien>link</a> mid</p><p>it's the end</p>", "start link mid it's the end"),
+    ('<p title="it\'s>x</p>', "x"),
+    ("<p class=comment-free>a</p><div class='ad-hoc'>b</div><section id='share-prices'>c</section>", "a b c"),
+    ("<p>a<math><mi>x</mi></math> b <svg><text>t</text></svg>c <noscript>n</noscript> <select><option>o<option>p</select>d", "a x b t c n d"),
+    ("<p>x<select><option>a<p>rest<div>more</div>", "x more"),
+    ("<form><div>no<article><p>in a form</p></article></div></form>", "in a form"),
+    ("<div hidden><form><article>no</article></form></div>yes", "yes"),
+    ("<p>a &amp;lt; &lt;b&gt; < c &#233;", "a &lt; <b> < c é"),
+    ("<table><tr><td>a<td>b<tr><td>c</div></table>d", "a b c d"),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a b c"),
+    ("<p>x<title>y<p>z", "xy z"),
+    ("<!-->a<!--->b<!-- c -->d<!-- e", "abd"),
+    ("<p>one<!DOCTYPE x>two<?php x ?>three</ bogus>four <a <b", "onetwothreefour"),
+    ("<head><title>no</title><p>yes", "yes"),
+    ("<p>t<script>if(a<b)</script>u<p/>v<script>w", "tu v"),
+    ("\x00\ud800<p>x", "\x00\ud800 x"),
+])
+def test_html_as_browsers_read_it(page, text):
+    assert own_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<div>" * 40_000 + "<p>x</p>" * 40_000, "<b>" * 60_000 + "</p>" * 60_000, '<p title="' * 60_000, "<p title='x\">" * 60_000, "<ul><li>" * 30_000, "<title>" * 60_000, "<p " + " " * 300_000, "<form>" + "<div>" * 20_000 + "<main>" * 20_000])
+def test_html_is_linear(page):
+    """Broken, deep and long pages of a quarter to half a megabyte: quadratic reading takes minutes."""
+    began = time.time()
+    html_text.Page(page).judged()
+    assert time.time() - began < 5
+
+
+def brute_tree(pages):
+    """Texts of pages (id, url, html) by the tree, counted page by page in plain Python."""
+    seen, by_host = set(), {}
+    read = []
+    for i, url, said in pages:
+        page = html_text.Page(said)
+        blocks, zone = page.judged()
+        host = html_text.host_of(url)
+        read.append((i, host, page, blocks, zone))
+        own = (host, "\n".join(t for _, t, x in blocks if x))
+        if own in seen:
+            continue
+        seen.add(own)
+        for k, path in enumerate(page.path):
+            if zone[k]:
+                by_host.setdefault(host, {}).setdefault(path, []).append((page.style[k], page.content[k], zone[k]))
+
+    def entropy(values):
+        n, m = collections.Counter(values), len(values)
+        return min(1.0, -sum(x / m * math.log(x / m) for x in n.values()) / math.log(min(m, html_text.SCALE)))
+
+    low, high = set(), set()
+    for host, paths in by_host.items():
+        for path, rows in paths.items():
+            if len(rows) >= html_text.LEAST_PAGES:
+                style, content = (entropy([r[j] for r in rows]) for j in (0, 1))
+                if 0.1 * style + 0.9 * content < html_text.LEAST:
+                    low.add((host, path))
+                elif max(r[2] for r in rows) == html_text.APART and min(style, content) >= html_text.OUTSIDE:
+                    high.add((host, path))
+    out = {}
+    for i, host, page, blocks, zone in read:
+        def above(k, page=page):
+            while k >= 0:
+                yield k
+                k = page.parent[k]
+
+        kept = [t for k, t, own in blocks if not any(zone[a] and (host, page.path[a]) in low for a in above(k)) and (own or any(zone[a] == html_text.APART and (host, page.path[a]) in high for a in above(k)))]
+        out[i] = " ".join(kept or [t for _, t, own in blocks if own])
+    return out, low, high
+
+
+def test_html_tree_decides(spark):
+    """Frames without telling names go, varied parts beside an article stay, renamed classes change nothing, brute force agrees."""
+    draw = random.Random(12)
+
+    def some(n):
+        return " ".join(draw.choices(EN, k=n))
+
+    def page(i, names, article):
+        menu, note, main, rest, sale = names
+        body = f"<h1>{some(4)} {i}</h1>" + "".join(draw.choice(("<p>{}</p>", "<pre>{}</pre>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>")).format(some(9)) for _ in range(draw.randint(1, 9)))
+        body = f"<article>{body}</article>" if article else f"<div class={main}>{body}</div>"
+        more = "".join(draw.choice(("<p>{}</p>", "<pre>{}</pre>", "<table><tr><td>{}</table>", "<blockquote>{}</blockquote>", "<dl><dt>{}</dl>")).format(f"part {some(6)} {i}") for _ in range(draw.randint(1, 9)))
+        return f"<body><div class={menu}><ul><li>Start<li>News<li>Shop</ul></div><div class={note}><p>We keep your data.</p></div>{body}<div class={rest}>{more}</div><div class={sale}>Buy {some(3)} now</div><p class=end>All rights reserved</p></body>"
+
+    first, second = ("top", "hint", "body", "annex", "sale"), ("qa", "qb", "qc", "qd", "qe")
+    state = draw.getstate()
+    for article in (True, False):
+        texts = []
+        for names in (first, second):
+            draw.setstate(state)
+            pages = [(i, f"http://h{i % 3 == 0}.example/", page(i, names, article)) for i in range(80)] + [(100 + i, "http://few.example/", page(i, names, article)) for i in range(3)]
+            pages += [(200 + i, "http://hTrue.example/", pages[0][2]) for i in range(30)]
+            want, low, high = brute_tree(pages)
+            rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+            for most in (html_text.MOST_BROADCAST, 0):
+                assert {r.page_id: r.text for r in html_text.extracted(rows, most_broadcast=most).collect()} == want
+            assert low and bool(high) == article
+            texts.append(want)
+        assert texts[0] == texts[1]
+        for i in range(80):
+            assert "Start News" not in texts[0][i] and "We keep" not in texts[0][i] and "All rights" not in texts[0][i] and "part " in texts[0][i]
+            assert ("Buy" in texts[0][i]) != article  # varied words in an unvaried place: beside an article it goes
+
+
 @pytest.mark.parametrize("page", [
     '<body style="overflow-x:hidden"><p>{}</p></body>',
     '<body><div title="a hidden valley" data-id="ad"><p><a href="/hidden/path">{}</a></p></div></body>',
@@ -338,7 +452,7 @@ def test_pipeline(spark, docs, tmp_path):
     '<body><article><pre>{} <span class="token comment"># kept</span></pre></article></body>',
 ])
 def test_html_names_leave_the_article(page):
-    said = " ".join(t for _, t in html_text.Page(page.format("The main text")).kept())
+    said = own_text(page.format("The main text"))
     assert said == "The main text" + " # kept" * ("# kept" in page)
 
 
