@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df.mapInArrow(run) with df's own columns, whatever characters their names hold; batches have other names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def beside_text(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str) -> DataFrame:
+    """df's columns but text, then those of `more` (as DDL), which replace columns of the same names. run gets the text last and puts the new columns in its place."""
+    new = [x.split(" ")[0] for x in more.split(", ")]
+    rest = [(x, c) for x, c in zip(every(df), df.columns, strict=True) if c != "text" and c.lower() not in new]
+    rows = df.select(*[x for x, _ in rest], F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(rest))], "text")
+    kinds = "".join(f"{c} {t}, " for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, kinds + more).toDF(*[c for _, c in rest], *new)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a local one that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all executors are threads of this machine's driver, a local one that is then set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="strandlog-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -50,8 +80,10 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer long texts in each Arrow batch, on both sides, where several stages share the executors' memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Fewer long texts in each Arrow batch, on both sides, where several stages share the executors' memory. A smaller setting stays."""
+    own = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if own <= 0 or own > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def fold(doc_id: Column) -> Column:

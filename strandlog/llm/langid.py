@@ -1,11 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled rows on the executors; the driver gets one count per language and hash slot
-and broadcasts the matrix of log-probabilities, 2**bits rows by the number of languages. Scoring gathers its rows in numpy.
+and broadcasts the matrix of log-probabilities, 2**bits rows by the number of languages. Scoring takes many texts at once: their n-grams
+are a sparse matrix of texts by slots, whose product with that matrix is one gather and one segmented sum. The numbers are whole 2**-20ths, so
+sums are exact and a score doesn't depend on what else is in a batch.
 
 Rows: a null text or one without a letter is `und` with score 0, as is every row if there is nothing to learn from. Rows without lang are not
 learned from but are scored. Repeated rows and extra columns do no harm; whole texts are read, whatever their length; ties go to
-the first language by code point.
+the first language by code point. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, fold, ngram_slots, sampled, small, table, texts
+from .common import beside_text, code_points, fold, mapped, ngram_slots, sampled, small, table, texts
 
 BITS, ORDERS, UNKNOWN = 14, (1, 2, 3), "und"
 #: Rows that training reads at most; a hash of the id picks them.
 MAX_TRAIN = 20_000
+#: Code points that are scored at a time, over the languages; fractions of which sums are whole numbers.
+STEP, FINE = 1 << 20, 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -36,23 +40,45 @@ def slots(text: str) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    log_probs: np.ndarray  # (2**BITS, langs)
+    log_probs: np.ndarray  # (2**BITS, langs), whole numbers of 1 / FINE
     prior: np.ndarray
 
-    def predict(self, text: str) -> tuple[str, float]:
-        if not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        chars, said = code_points(text.lower()), self.prior.copy()
-        for at in range(0, len(chars), 1 << 16):  # pieces overlap so that no n-gram is lost
+    def sums(self, some: list[str]) -> np.ndarray:
+        """Log-probabilities of texts by language, in 1 / FINE."""
+        out = np.tile(self.prior, (len(some), 1))
+        parts = [code_points(x.lower()) for x in some]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        chars, doc = np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.repeat(np.arange(len(parts)), sizes)
+        step = max(1, STEP // max(1, len(self.langs)))
+        for at in range(0, len(chars), step):
             for n in ORDERS:
-                found = ngram_slots(chars[at : at + (1 << 16) + n - 1], n, BITS)
-                if len(found) > 4096:
-                    said += np.bincount(found, minlength=1 << BITS) @ self.log_probs
-                else:
-                    said += self.log_probs[found].sum(axis=0)
-        odds = np.exp(said - said.max())
-        best = int(np.argmax(said))
-        return self.langs[best], float(odds[best] / odds.sum())
+                found = ngram_slots(chars[at : at + step + n - 1], n, BITS)
+                own = doc[at : at + len(found)]
+                whole = own == doc[at + n - 1 : at + n - 1 + len(found)]  # no n-gram spans two texts
+                found, own = found[whole], own[whole]
+                if len(found):
+                    first = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+                    out[own[first]] += np.add.reduceat(self.log_probs[found], first, axis=0)
+        return out
+
+    def predict_all(self, some: list[str]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(some)
+        todo = [i for i, x in enumerate(some) if self.langs and LETTER.search(x)]
+        while todo:
+            own, size = [], 0
+            while todo and size < STEP:
+                own.append(todo.pop())
+                size += len(some[own[-1]])
+            said = self.sums([some[i] for i in own])
+            odds = np.exp((said - said.max(axis=1, keepdims=True)) / FINE)
+            best = said.argmax(axis=1)
+            share = odds[np.arange(len(own)), best] / odds.sum(axis=1)
+            for i, k, p in zip(own, best.tolist(), share.tolist(), strict=True):
+                out[i] = self.langs[k], p
+        return out
+
+    def predict(self, text: str) -> tuple[str, float]:
+        return self.predict_all([text])[0]
 
 
 def train(rows: DataFrame, most: int = MAX_TRAIN) -> Model:
@@ -81,23 +107,21 @@ def train(rows: DataFrame, most: int = MAX_TRAIN) -> Model:
         own = own[own["slot"] >= 0]
         tally[own["slot"].to_numpy(), k] = own["n"].to_numpy()
     tally += 0.5
-    return Model(langs, np.log(tally / tally.sum(axis=0)), np.log(prior / max(prior.sum(), 1)))
+    log_probs, share = np.log(tally / tally.sum(axis=0)), np.log(prior / max(prior.sum(), 1))
+    return Model(langs, np.rint(log_probs * FINE).astype(np.int64), np.rint(share * FINE).astype(np.int64))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) -> its columns but text, lang_pred and score."""
+    """docs (doc_id, text, ...) -> its columns but text, lang_pred and score, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS x languages numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small(whole):
-                said = [shared.value.predict(x) for x in texts(batch.column(batch.num_columns - 1))]
+                said = shared.value.predict_all(texts(batch.column(batch.num_columns - 1)))
                 yield pa.record_batch([*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return beside_text(docs, run, "lang_pred string, score double")
 
 
 def learned(docs: DataFrame) -> Model:
@@ -112,6 +136,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least that probability. Columns as in docs."""
-    said = identified(docs.select(F.struct(*docs.columns).alias("row"), "text"), learned(docs))
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    """The rows whose language is known with at least that probability. Columns as in docs; texts go to Python once."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small(whole):
+                said = shared.value.predict_all(texts(batch.column(at)))
+                yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+
+    return mapped(docs, run)
