@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import raw, small, table, written
+from .common import every, raw, small, table, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
@@ -111,13 +111,19 @@ from r join t on r.source is not distinct from t.source join offs on r.source is
 def mixture(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with each row as often as the mix takes it. Columns as in docs.
 
-    Rows are told apart by 128 bits of hash over all columns that Spark can hash (all but maps), and over which of them are null.
+    The rows' copies are a written table of keys, so Catalyst knows its size: below the broadcast threshold no text is shuffled but those of
+    rows that repeat, above it texts are joined by key. Rows are told apart by 128 bits of hash over all columns that Spark can hash (all but maps), and over which of them are null.
     """
-    told = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    told = [x for x, (_, t) in zip(every(docs), docs.dtypes, strict=True) if "map<" not in t]
     told += [x.isNull() for x in told]
     keys = [F.xxhash64(*told).alias("_key"), F.xxhash64(F.lit(1), *told).alias("_key2")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys, "doc_id", "source", "text")
+    rows = docs.select(F.struct(*every(docs)).alias("_row"), *keys, "doc_id", "source", "text")
     counts = mixed_counts(written(sized(rows.drop("_row"), ["doc_id", "source", "_key", "_key2"])), seed)
-    counts = counts.groupBy("_key", "_key2").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    once = rows.select("_row", "_key", "_key2").dropDuplicates(["_key", "_key2"])  # equal rows are one row with the sum of their copies
-    return once.join(counts, ["_key", "_key2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    counts = written(counts.groupBy("_key", "_key2").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"))
+    rows = rows.select("_row", "_key", "_key2")
+    taken = rows.join(counts.where("rows = 1"), ["_key", "_key2"]).select("_row", "copies")
+    again = counts.where("rows > 1")
+    if not again.isEmpty():  # equal rows are one row with the sum of their copies
+        once = rows.join(again.select("_key", "_key2"), ["_key", "_key2"], "left_semi").dropDuplicates(["_key", "_key2"])
+        taken = taken.union(once.join(again, ["_key", "_key2"]).select("_row", "copies"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -7,7 +7,7 @@ orthogonal to all of them: that table keeps none of them and the pair collides t
 
 Rows: a null text has no words; a text without words has fingerprint zero, which is linked like any other. Copies share a fingerprint
 and cost one row of the index. Extra columns are ignored. An empty table gives an empty result. A null doc_id is kept as a row
-whose id is null and is never the name of a component with other ids.
+whose id is null and is never the name of a component with other ids. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, raw, small, table, written
+from .common import discard, every, fresh, raw, small, table, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -164,15 +164,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     the least hash of all columns stays. The ids that go or repeat are a written table, so Catalyst knows its size: below the broadcast
     threshold no text is shuffled, above it texts are joined by id.
     """
-    key = ["doc_id", "_sign"]
-    signed = docs.withColumn("_sign", F.xxhash64("text"))
-    known = signed.select(F.when(F.col("doc_id").isNotNull(), F.struct(*key)).alias("doc_id"), "text")
+    sign = fresh("_sign", docs)
+    key = ["doc_id", sign]
+    signed = docs.withColumn(sign, F.xxhash64("text"))
+    known = signed.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col(sign).alias("sign"))).alias("doc_id"), "text")
     rows = near_duplicates(known).where("doc_id is not null")
     own = rows.groupBy("doc_id.doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
     odd = written(own.where("n > 1 or not names").select("doc_id", F.expr("names and n > 1").alias("several")))
-    single = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
+    single = docs.join(odd.select("doc_id"), "doc_id", "left_anti").select(every(docs))
     several = odd.where("several").select("doc_id")
-    names = written(rows.where("doc_id = component_id").select("doc_id.*").join(several, "doc_id", "left_semi").distinct())
-    again = signed.join(names, key, "left_semi").select(*key, F.struct(*docs.columns).alias("row"))
+    names = written(rows.where("doc_id = component_id").select("doc_id.*").join(several, "doc_id", "left_semi").distinct()).withColumnRenamed("sign", sign)
+    again = signed.join(names, key, "left_semi").select(*key, F.struct(*every(docs)).alias("row"))
     repeated = again.groupBy(*key).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
-    return single.select(docs.columns).unionByName(repeated.select(docs.columns))
+    return single.union(repeated)
