@@ -89,9 +89,9 @@ def firsts(docs):
     return out
 
 
-def chains(label):
+def chains(labelled, label):
     two, one = Counter(), Counter()
-    for text, own in secrets.samples():
+    for text, own in labelled:
         if own == label:
             codes = ["", "", *text]
             two.update(zip(codes, codes[1:], codes[2:], strict=False))
@@ -101,9 +101,13 @@ def chains(label):
 
 def masked(docs):
     alphabet = ["", *secrets.ALPHABET]
-    models = []
+    models, seen = [], Counter()
+    for _, text, _, _ in docs:
+        seen.update(set(re.findall("[A-Za-z]{2,40}", text)))
+    every = secrets.samples(sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w)))
+    labelled = [x for i, x in enumerate(every) if i % 4]
     for label in (1, 0):
-        two, one = chains(label)
+        two, one = chains(labelled, label)
         pairs, after = Counter(), Counter()
         for (a, b, _), n in two.items():
             pairs[a, b] += n
@@ -118,14 +122,20 @@ def masked(docs):
             out += sign * math.log((two[a, b, c] + 5 * back) / (pairs[a, b] + 5))
         return out
 
+    def best(text):
+        codes = ["", "", *text]
+        each = list(map(said, codes, codes[1:], codes[2:]))
+        return max(sum(each) / len(each), *(sum(each[k : k + 20]) / 20 for k in range(len(each) - 19)))
+
+    ordinary = sorted(best(t) for i, (t, own) in enumerate(every) if i % 4 == 0 and not own and len(t) >= 20)
+    least = max(0.3, ordinary[math.ceil((len(ordinary) - 1) * 0.998)])
     patterns = [r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)"]
     for i, text, lang, source in docs:
         spans = [m.span() for p, least in zip(patterns, (8, 16, 32), strict=True) for m in re.finditer(p, text) if len(m[1]) >= least]
         base = list(spans)
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-            codes = ["", "", *m[0]]
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
-                if sum(map(said, codes, codes[1:], codes[2:])) / len(m[0]) >= 0.5:
+            if re.search("[A-Za-z]", m[0]) and len(set(re.findall("[A-Za-z0-9]", m[0]))) >= 8 and not any(a < m.end() and m.start() < b for a, b in base):
+                if best(m[0]) > least:  # the random strings of these documents stand alone
                     spans.append(m.span())
         hidden = [any(a <= k < b for a, b in spans) for k in range(len(text))]
         starts = {a for a, _ in spans if not any(x < a < y for x, y in spans)}
