@@ -1,16 +1,23 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Features are the distinct words (runs of letters, lower case) of a text and the words' beginnings, as inflected and compound words share
-them. Features that do not tell the labels apart in the sample are left out, so long clean texts gather no noise. Training copies each labelled text that names a group, with every identity
-term swapped for another, and penalises the squared change of the score: a neutral mention of a group does not raise it.
+them. Features that do not tell the labels apart in the sample (z below LEAST_Z, or fewer than LEAST_SEEN texts), and those beyond the
+MAX_FEATURES strongest, are left out, so long clean texts gather no noise. Training copies each labelled text that names a group, with every
+identity term swapped for another, and penalises the squared change of the score: a neutral mention of a group does not raise it.
+
+Identity terms come from two places: the lists of IDENTITY, of which only those that occur in the sample have an effect, and the sample itself.
+What a term must look like to mislead a classifier is known: it comes more often in toxic texts than chance has it, yet most texts that have it
+are clean. Such words (`suspects`) are each swapped with an even-handed word of like frequency. Model.pairs says how many pairs were used.
 
 Rows: a null text is empty; an empty text scores as the bias says. Without labelled rows every score is 0. Null labels are not
-learned from; an id labelled twice counts with its greatest label. Repeated rows are scored each; extra columns are ignored; whole texts are read.
+learned from; an id labelled twice counts with its greatest label. Repeated rows are scored each; extra columns are ignored; whole texts are read,
+whatever their length. An empty table gives an empty result. A score of exactly `toxic_at` is toxic.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, sampled, small, table, texts
+from .common import beside_text, fold, sampled, small, table, texts
 from .linear import Rows, fit, sigmoid
 
 #: Terms that name groups of people, in sets whose members can stand for each other. A parameter.
@@ -39,6 +46,10 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGIN = (3, 4, 5, 6, 7)
 #: Labelled rows that training reads at most; features that the model holds at most; words that a worker remembers.
 MAX_TRAIN, MAX_FEATURES, WORDS_HELD = 4000, 20_000, 300_000
+#: What a feature must have: texts of the sample, standard deviations from chance.
+LEAST_SEEN, LEAST_Z = 4, 5.0
+#: What a suspect must have: texts, standard deviations, and at most that share of toxic texts; its partner is within EVEN deviations of chance. Suspects at most.
+TERM_SEEN, TERM_Z, TERM_TOXIC, EVEN, MAX_TERMS = 20, 2.0, 0.5, 1.0, 200
 TOXIC_AT = 0.3
 
 
@@ -61,6 +72,8 @@ def swapped(own: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> se
 class Model:
     weights: dict[str, float]
     bias: float
+    pairs: int = 0
+    terms: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self):
         self.known: dict[str, tuple[str, ...]] = {}
@@ -85,7 +98,24 @@ def all_features(own: Iterable[str]) -> set[str]:
     return {f for x in own for f in features(x)}
 
 
-def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY, pull: float = 1.0) -> Model:
+def suspects(seen: dict[str, int], toxic: dict[str, int], share: float) -> list[tuple[str, str]]:
+    """Words that come too often in toxic texts though most of their texts are clean, each with an even-handed word of like frequency."""
+    def z(f: str) -> float:
+        return (toxic.get(f, 0) - seen[f] * share) / np.sqrt(seen[f] * share * (1 - share))
+
+    common = [f for f, n in seen.items() if n >= TERM_SEEN and not f.endswith("*")]
+    found = sorted((f for f in common if z(f) >= TERM_Z and toxic.get(f, 0) <= TERM_TOXIC * seen[f]), key=lambda f: (-z(f), f))[:MAX_TERMS]
+    even = sorted((seen[f], f) for f in common if abs(z(f)) < EVEN)
+    out = []
+    for f in found:
+        if not even:
+            break
+        at = min(bisect_left(even, (seen[f], f)), len(even) - 1)
+        out.append((f, even.pop(at)[1]))  # a partner of its own for each
+    return out
+
+
+def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY, pull: float = 0.1) -> Model:
     """docs: the distinct words of each text. They are read twice; only counts of features stay in memory."""
     if not len(y):
         return Model({}, float("-inf"))
@@ -97,9 +127,10 @@ def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str
         seen.update(got)
         if label:
             toxic.update(got)
-    told = {f: abs(toxic[f] - n * share) / np.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= 4}
+    told = {f: abs(toxic[f] - n * share) / np.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= LEAST_SEEN}
+    groups = (*groups, *suspects(seen, toxic, share))
     names = {x for g in groups for x in g}
-    kept = sorted((f for f, z in told.items() if z >= 5 or f in names), key=lambda f: (-told[f], f))[:MAX_FEATURES]
+    kept = sorted((f for f, z in told.items() if z >= LEAST_Z or f in names), key=lambda f: (-told[f], f))[:MAX_FEATURES]
     place = {f: i for i, f in enumerate(kept)}
 
     def at(own: Iterable[str]) -> np.ndarray:
@@ -111,7 +142,7 @@ def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str
     both = [(at(own), at(turned)) for own in docs if (turned := swapped(set(own), groups)) is not None]
     pairs = (rows([x for x, _ in both]), rows([x for _, x in both]))
     w, b = fit(rows([at(own) for own in docs]), y, l2=1e-4, steps=300, rate=0.2, pairs=pairs, pull=pull)
-    return Model({f: float(w[i]) for f, i in place.items()}, b)
+    return Model({f: float(w[i]) for f, i in place.items()}, b, len(both), groups)
 
 
 class Lists(Sequence):
@@ -142,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFrame:
-    """docs (doc_id, text, ...) -> its columns but text, score and predicted."""
+    """docs (doc_id, text, ...) -> its columns but text, score and predicted, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES strings at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +182,7 @@ def scored(docs: DataFrame, model: Model, toxic_at: float = TOXIC_AT) -> DataFra
                 score = np.array([shared.value.score(x) for x in texts(batch.column(batch.num_columns - 1))], float)
                 yield pa.record_batch([*batch.columns[:-1], pa.array(score), pa.array((score >= toxic_at).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    rows = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return beside_text(docs, run, "score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

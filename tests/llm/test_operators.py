@@ -91,6 +91,18 @@ def test_links_in_blocks(spark):
         assert all(got[int(a)] == got[int(b)] for a, b in zip(*near, strict=True))
 
 
+def test_stages_take_any_column_name(spark, docs, tmp_path):
+    """Names with dots and quotes, and names that the stages use themselves."""
+    import corpus_pipeline
+
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("x`y", F.lit("q")).withColumn("_sign", F.lit(2)).withColumn("_row", F.lit(3)).withColumn("_key", F.lit(4)).withColumn("copies", F.lit(5))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        assert out.where("_sign = 2 and _row = 3 and _key = 4 and copies = 5").count() == out.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).count() >= odd.count()
+
+
 def test_dedup_keeps_one_of_each(docs, none):
     out = simhash.deduplicated(docs)
     assert out.columns == docs.columns
@@ -201,15 +213,24 @@ def test_language(docs, none):
 def test_secrets(spark, docs, none):
     key = "Zk3xQ9vLr7WmT2bNc8YpHs4D"
     text = f'password = "hunter2hunter2" é API-KEY:x apikey: abc token=short12 AKIA{"Q7" * 8} ' + "0af" * 12 + f" {key} the_value_of_user_name_index_2"
-    base, every = secrets.scan(text, secrets.Ratio(secrets.samples()))
+    model = secrets.fitted(secrets.samples())
+    base, every = secrets.scan(text, model.ratio, model.least)
     plain = []
     for k, (_, pattern, group, least) in enumerate(secrets.KINDS):
         plain += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     assert base == sorted(plain) and [k for _, k, _ in base] == [0, 1, 2]
     assert [text[a:b] for a, k, b in every if k == 3] == [key]
-    ratio = secrets.Ratio(secrets.samples())
-    fresh = secrets.samples(500, seed=77)
-    assert np.mean([(ratio.score(t) >= 0.5) == bool(y) for t, y in fresh]) > 0.98
+    corpus = [f"{a}{b}{c}" for a in ("ver", "chpf", "ant", "be") for b in ("heit", "schw", "wort", "un") for c in ("en", "ung", "sein", "tum")]
+    fresh = secrets.samples(corpus, 500, seed=77)
+    for own in (model, secrets.fitted(secrets.samples(corpus))):
+        assert own.recall > 0.98 and own.precision > 0.98
+    said = [(bool(secrets.scan(t, own.ratio, own.least)[1]), bool(y)) for t, y in fresh if len(t) >= 20]
+    assert np.mean([x for x, y in said if y]) > 0.97 and np.mean([x for x, y in said if not y]) < 0.01
+    found = lambda t: [t[a:b] for a, k, b in secrets.scan(t, own.ratio, own.least)[1] if k == 3]
+    assert found("QwhZkTnbXvPlRsJdYfGcMoEa") == ["QwhZkTnbXvPlRsJdYfGcMoEa"]  # letters only
+    assert not any(map(found, ("chpfheitschwheitenverheiten", "antwortungsbeheitsein2024", "kubernetes-deployment-prod-7", "2024-01-15-quarterly-report-final", "-" * 60, "a" * 60, "1234567890" * 5)))
+    assert secrets.corpus_words(docs)[:3] == sorted({w for w in EN + DE}, key=lambda w: (-sum(w in re.findall("[A-Za-z]{2,40}", r.text or "") for r in docs.collect()), w))[:3]
+    assert secrets.corpus_words(none) == []
     row = secrets.found(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert row[0].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest() and row[0].n_random == 1
     assert row[1].spans == "" and row[1].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -255,6 +276,47 @@ def test_toxicity(spark, none):
     assert toxicity.scored(none.select("doc_id", "text"), model).count() == 0 and toxicity.fitted([], np.zeros(0)).score("x") == 0
 
 
+def test_toxicity_on_odd_rows(spark, docs, none):
+    """Nulls, empty and very long texts, repeated rows and ids, ties at the bound, further columns, nothing to learn from."""
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(80)] + [(0, 0), (3, None), (None, 1), (200, 1), (7, 5)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert toxicity.scored(docs, model).columns == [*(c for c in docs.columns if c not in ("text", "score")), "score", "predicted"]
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("lang_pred", F.lit(1))
+    assert toxicity.scored(odd, model).where("`a.b` = 1").count() == len(got) == langid.identified(odd, langid.learned(odd)).where("`a.b` = 1 and lang_pred in ('en', 'de', 'und')").count()
+    assert len({r[-2] for r in got if r.doc_id in (200, 201)}) == 1
+    assert toxicity.scored(none, model).count() == 0
+    for empty in (toxicity.train(none, labels), toxicity.train(docs, labels.where("false"))):
+        assert all(r[-1] == 0 for r in toxicity.scored(docs, empty).collect())
+    at = toxicity.Model({"x": 0.0}, float(np.log(0.3 / 0.7)))
+    assert [r[-1] for r in toxicity.scored(docs.select("doc_id", "text").limit(1), at, at.score("x")).collect()] == [1]
+
+
+def test_suspects_are_found_and_evened():
+    """Words that toxic texts name too often, most of whose texts are clean: the penalty takes their weight, not that of what is toxic."""
+    draw = random.Random(31)
+    texts, y = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        own = draw.choices(EN + DE, k=12)
+        if draw.random() < (0.9 if toxic else 0.12):
+            own.append("ruritanians")
+        if draw.random() < 0.3:
+            own.append("neighbours")
+        if toxic:
+            own.append(draw.choice(("grmpf", "blarg")) if draw.random() < 0.8 else "kaputt")
+        texts.append(toxicity.words(" ".join(own)))
+        y.append(float(toxic))
+    y = np.array(y)
+    plain, even = (toxicity.fitted(texts, y, pull=p) for p in (0.0, 0.1))
+    assert even.pairs > 100 and any(g[0] == "ruritanians" for g in even.terms)
+    neutral = [f"the {a} ruritanians {b}" for a in EN for b in DE]
+    said = [np.mean([m.score(t) for t in neutral]) for m in (plain, even)]
+    assert said[1] < 0.5 * said[0] and sum(even.score(t) >= 0.3 for t in neutral) <= sum(plain.score(t) >= 0.3 for t in neutral)
+    assert even.score("the blarg and that") > 0.8
+
+
 def test_word_pieces(spark, docs, none):
     draw = random.Random(7)
     for _ in range(150):
@@ -498,7 +560,7 @@ def test_word_pieces_cover_words_without_a_start_of_their_own():
 
 def test_secrets_joined_to_words():
     """Random strings are found after words joined by / = - _, beside a pattern's span and without digits; words of no sample aren't."""
-    ratio, draw = secrets.Ratio(secrets.samples()), random.Random(21)
+    model, draw = secrets.fitted(secrets.samples()), random.Random(21)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     own = lambda n, of=letters + "0123456789": "".join(draw.choices(of, k=n))
     for before, make in [
@@ -512,14 +574,14 @@ def test_secrets_joined_to_words():
         whole = 0
         for _ in range(200):
             secret = make()
-            random_ = [(a, b) for a, k, b in secrets.scan(before + secret, ratio)[1] if k == 3]
+            random_ = [(a, b) for a, k, b in secrets.scan(before + secret, model.ratio, model.least)[1] if k == 3]
             whole += any(a <= len(before) and b == len(before) + len(secret) for a, b in random_)
         assert whole >= 190, (before, whole)
     a, b = own(24), own(24)
     text = f"user_name={a}/client/request/response/list/result/{b}"
-    assert [text[x:y] for x, k, y in secrets.scan(text, ratio)[1] if k == 3] == [a, b]
+    assert [text[x:y] for x, k, y in secrets.scan(text, model.ratio, model.least)[1] if k == 3] == [a, b]
     plain = "umbrella_carpenter_lemonade wonderful-morning-sunlight/kitchenTableCloth -----------------Chapter ==================== com/pytest-dev/pytest/issues donaudampfschifffahrtsgesellschaft"
-    assert secrets.scan(plain, ratio)[1] == []
+    assert secrets.scan(plain, model.ratio, model.least)[1] == []
 
 
 def test_dedup_of_rows_that_share_an_id(spark):
