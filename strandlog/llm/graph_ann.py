@@ -3,11 +3,16 @@
 Equal vectors are one node that carries the least ids of its rows (one more than the neighbours asked for, which is all that a result
 can need), so copies neither crowd a graph nor a task. Nodes go to shards by hash. In a shard, greedy searches from the most central node
 propose neighbours; pruning keeps the nearest and drops what a kept neighbour is nearer to by the factor alpha; reverse edges are
-added and pruned alike. Queries go in blocks to every shard, where a beam search answers all of a block at once; exact double-precision
-distances on the original vectors rank what was found.
+added and pruned alike. Graphs are built and searched in double precision around the shard's median and in units of its median spread, so
+neither a common offset nor a scale nor single far values hide what is near. Exact distances on the original vectors rank what was found.
+
+Queries go in blocks to every shard. A unit of work is one graph and at most UNIT blocks: units are partitions of their own by dimension,
+shard and salt, in which the graph comes first and the blocks stream past it, so no key holds more than that, whatever the table's size.
+The number of units is rows of queries times shards: queries that are a fixed share of the rows make the work grow with their square.
 
 Rows: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows without id; equal rows count once;
-vectors meet those of their own dimension only. Fewer candidates than asked for give fewer rows. Extra columns are ignored.
+vectors meet those of their own dimension only. Fewer candidates than asked for give fewer rows; an empty table gives none. Extra columns are
+ignored. Ties of distance go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -22,6 +27,26 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 DEGREE, BEAM, ALPHA, SHARD, BLOCK = 28, 96, 1.2, 4000, 256
+#: Queries in a row of a block; blocks that one task searches in one graph; partitions at most.
+ASKED, UNIT, MOST_PARTS = 64, 64, 20_000
+#: Dimensions whose numbers of shards are broadcast, two numbers each; beyond they are joined.
+MOST_DIMS = 10_000
+#: Components beyond that many median spreads count as so many in a search, not in distances that are given.
+FAR = 1e60
+
+
+def frame(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Middle and spread of a shard's vectors: medians, which single values don't move."""
+    middle = np.median(x, axis=0)
+    with np.errstate(over="ignore"):
+        spread = np.abs(x - middle).max(axis=1)
+    some = spread[(spread > 0) & np.isfinite(spread)]
+    return middle, float(np.median(some)) if len(some) else 1.0
+
+
+def framed(x: np.ndarray, middle: np.ndarray, unit: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.clip((x - middle) / unit, -FAR, FAR)
 
 
 def beam_search(x: np.ndarray, norm: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +54,7 @@ def beam_search(x: np.ndarray, norm: np.ndarray, graph: np.ndarray, entry: int,
     n, m = len(x), len(q)
     qn = (q * q).sum(axis=1)
     ids = np.full((m, beam), -1, np.int32)
-    far = np.full((m, beam), np.inf, np.float32)
+    far = np.full((m, beam), np.inf)
     ids[:, 0] = entry
     far[:, 0] = qn + norm[entry] - 2 * (q @ x[entry])
     done = np.zeros((m, beam), bool)
@@ -49,7 +74,7 @@ def beam_search(x: np.ndarray, norm: np.ndarray, graph: np.ndarray, entry: int,
         fresh = ~seen[rows, near]
         seen[rows, near] = True
         seen[live, n] = True
-        d = np.where(fresh, qn[live][:, None] + norm[near] - 2 * np.einsum("mrd,md->mr", x[near], q[live]), np.inf).astype(np.float32)
+        d = np.where(fresh, qn[live][:, None] + norm[near] - 2 * np.einsum("mrd,md->mr", x[near], q[live]), np.inf)
         every, gap = np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1), np.concatenate([far[live], d], axis=1)
         flag = np.concatenate([done[live], np.zeros(d.shape, bool)], axis=1)
         order = np.argsort(gap, axis=1, kind="stable")[:, :beam]
@@ -119,8 +144,8 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 48, alpha: float = AL
 
 def _index_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep", ignore_index=True)
-    x = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
-    graph, entry = build(x)
+    x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+    graph, entry = build(framed(x, *frame(x)))
     members = pdf["ids"].to_numpy()
     return pd.DataFrame({"dim": [x.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "n": [len(x)], "entry": [entry], "vectors": [x.tobytes()], "graph": [graph.tobytes()], "members": [np.concatenate(members)], "held": [[len(m) for m in members]]})
 
@@ -129,8 +154,8 @@ INDEX = "dim int, shard int, n int, entry int, vectors binary, graph binary, mem
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<float>, dim) of the rows that take part, each once."""
-    rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    """(vec_id, embedding array<double>, dim) of the rows that take part, each once."""
+    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return rows.where(fine).where(F.exists("embedding", lambda v: v != 0)).withColumn("dim", F.size("embedding")).distinct()
 
@@ -141,40 +166,72 @@ def index(rows: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
     least = rows.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= k + 1)
     nodes = least.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.min("dim").alias("dim"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = written(nodes)
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    nodes = nodes.join(F.broadcast(sizes), "dim") if sizes.count() <= 10_000 else nodes.join(sizes, "dim")
+    sizes = written(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
+    total = sizes.agg(F.sum("shards")).first()[0] or 0
+    nodes = nodes.join(F.broadcast(sizes), "dim") if sizes.count() <= MOST_DIMS else nodes.join(sizes, "dim")
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("shards")).cast("int"))
+    nodes = nodes.repartition(min(max(1, 2 * total), MOST_PARTS), "dim", "shard")  # a number of its own: shards aren't merged into few tasks
     return written(nodes.groupBy("dim", "shard").applyInPandas(_index_rows, INDEX))
 
 
+def _answers(g, blocks: list, k: int, beam: int) -> pd.DataFrame:
+    """The k nearest of one graph for the queries of some blocks."""
+    x = np.frombuffer(g.vectors, float).reshape(int(g.n), g.dim)
+    graph = np.frombuffer(g.graph, np.int32).reshape(int(g.n), -1)
+    members, held = np.asarray(g.members), np.asarray(g.held)
+    ends = held.cumsum()
+    own = frame(x)
+    y = framed(x, *own)
+    norm = (y * y).sum(axis=1)
+    ids = np.concatenate([np.asarray(b.queries) for b in blocks])
+    asked = np.concatenate([np.asarray(b.asked, float) for b in blocks]).reshape(-1, g.dim)
+    rows = []
+    for a in range(0, len(ids), BLOCK):
+        q = asked[a : a + BLOCK]
+        found, _ = beam_search(y, norm, graph, int(g.entry), framed(q, *own), max(beam, k + 1))
+        with np.errstate(over="ignore"):
+            exact = np.sqrt(((x[found] - q[:, None]) ** 2).sum(axis=2))
+        for i, query in enumerate(ids[a : a + BLOCK]):
+            near = [(exact[i, j], m) for j in np.argsort(exact[i], kind="stable") if found[i, j] >= 0 for m in members[ends[found[i, j]] - held[found[i, j]] : ends[found[i, j]]] if m != query]
+            rows += [(query, m, s) for s, m in sorted(near)[:k]]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+
+
 def _answer(k: int, beam: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by unit: its graph, then its blocks, a few of which are searched at once."""
+        graph, held = None, []
         for pdf in batches:
             for r in pdf.itertuples():
-                x = np.frombuffer(r.vectors, np.float32).reshape(r.n, r.dim)
-                graph = np.frombuffer(r.graph, np.int32).reshape(r.n, -1)
-                members, held = np.asarray(r.members), np.asarray(r.held)
-                ends = held.cumsum()
-                q = np.stack([np.asarray(v, np.float32) for v in r.asked])
-                found, _ = beam_search(x, (x * x).sum(axis=1), graph, r.entry, q, max(beam, k + 1))
-                exact = np.sqrt(((x[found].astype(float) - q[:, None].astype(float)) ** 2).sum(axis=2))
-                rows = []
-                for i, query in enumerate(r.queries):
-                    own = [(exact[i, j], m) for j in np.argsort(exact[i], kind="stable") if found[i, j] >= 0 for m in members[ends[found[i, j]] - held[found[i, j]] : ends[found[i, j]]] if m != query]
-                    rows += [(query, m, s) for s, m in sorted(own)[:k]]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                if r.graph is not None:
+                    if held:
+                        yield _answers(graph, held, k, beam)
+                    graph, held = r, []
+                elif graph is not None and (r.dim, r.shard, r.salt) == (graph.dim, graph.shard, graph.salt):  # else a shard without vectors
+                    held.append(r)
+                    if len(held) * ASKED >= BLOCK:
+                        yield _answers(graph, held, k, beam)
+                        held = []
+        if held:
+            yield _answers(graph, held, k, beam)
 
     return run
 
 
 def nearest(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
     """graphs as of index(), queries as of usable() -> query_id, rank, vec_id, score."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(blocks))
-    asked = queries.groupBy("dim", block.alias("block")).agg(F.collect_list("vec_id").alias("queries"), F.collect_list("embedding").alias("asked"))
-    pairs = graphs.join(asked, "dim").repartition(F.col("dim"), F.col("shard"), F.col("block"))
-    found = pairs.drop("block").mapInPandas(_answer(k, beam), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-queries.count() // ASKED))
+    salts = -(-blocks // UNIT)
+    block = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(blocks)).cast("int")
+    asked = queries.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
+    asked = written(asked.select("dim", "block", F.col("q.vec_id").alias("queries"), F.flatten("q.embedding").alias("asked")))
+    shards = written(graphs.groupBy("dim").agg((F.max("shard") + 1).alias("shards")))
+    few = shards.count() <= MOST_DIMS
+    rows = graphs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("block", F.lit(-1))
+    more = asked.join(F.broadcast(shards) if few else shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    units = rows.unionByName(more.withColumn("salt", F.pmod("block", F.lit(salts))), allowMissingColumns=True)
+    units = units.repartition(min(max(1, 2 * salts * graphs.count()), MOST_PARTS), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "block")
+    found = units.mapInPandas(_answer(k, beam), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

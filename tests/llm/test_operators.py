@@ -393,6 +393,49 @@ def test_pipeline(spark, docs, tmp_path):
     assert sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in rows) == sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in again)
 
 
+@pytest.mark.parametrize(("name", "change"), [("far from zero", lambda x: x + 3000), ("tiny", lambda x: x * 1e-25), ("huge", lambda x: x * 1e25), ("clusters", lambda x: x * 0.01 + 100 * (np.arange(len(x)) % 20)[:, None]), ("one far value", lambda x: np.where(np.arange(len(x))[:, None] == 5, 1e120, x))])
+def test_neighbours_of_any_scale(name, change):
+    """Recall against brute force in one shard, whatever the offset, scale and spread."""
+    draw = np.random.default_rng(3)
+    x = change(draw.normal(size=(900, 24)))
+    own = graph_ann.frame(x)
+    y = graph_ann.framed(x, *own)
+    graph, entry = graph_ann.build(y)
+    q = x[::30]
+    found, _ = graph_ann.beam_search(y, (y * y).sum(axis=1), graph, entry, graph_ann.framed(q, *own), graph_ann.BEAM)
+    hit = 0
+    for i, v in enumerate(q):
+        d = ((x - v) ** 2).sum(axis=1)
+        near = found[i][found[i] >= 0]
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(near[np.argsort(d[near], kind="stable")[:10]]))
+    assert hit >= 0.9 * 10 * len(q), name
+
+
+def test_neighbours_in_units(spark, monkeypatch):
+    """Several dimensions, empty shards, clashing columns, units of one block: the same rows without broadcasts, and no shuffle by dimension alone."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=12 if i % 3 else 7).tolist(), i, "x") for i in range(900)] + [(5000, [1e300] * 12, 1, "x"), (5100, [4.9e-324] * 12, 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int, rank string")
+    own = graph_ann.usable(df)
+    asked = own.where("vec_id % 10 = 0")
+
+    def answers():
+        return {(r.query_id, r.rank, r.vec_id, r.score) for r in graph_ann.nearest(graph_ann.index(own, shard=100), asked).collect()}
+
+    want = answers()
+    assert len({r[0] for r in want}) == 92 and all(r[1] <= 10 for r in want)
+    monkeypatch.setattr(graph_ann, "UNIT", 1)
+    monkeypatch.setattr(graph_ann, "ASKED", 8)
+    monkeypatch.setattr(graph_ann, "MOST_DIMS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answers() == want
+        plan = graph_ann.nearest(graph_ann.index(own, shard=100), asked)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(dim#" not in re.sub(r"hashpartitioning\(dim#\d+, (shard|block)", "", plan.split("MapInPandas")[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def own_text(page):
     """What the elements' tags and names leave of a page, without a tree."""
     return " ".join(t for _, t, own in html_text.Page(page).judged()[0] if own)
