@@ -89,12 +89,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-#: The same rows in DuckDB; the offsets are those of offset(), given as numbers by oracle().
-def oracle(sources: list[str | None], seed: int = 17) -> str:
-    us = ", ".join(f"({'NULL' if s is None else chr(39) + s.replace(chr(39), chr(39) * 2) + chr(39)}, {offset(seed, s)!r}::double)" for s in sources)
+def oracle(seed: int = 17) -> str:
+    """The same rows in DuckDB."""
     return f"""
 with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
-offs(source, u) as (values {us}),
+offs as (select distinct source, ('0x' || substr(sha256('{seed}:' || coalesce('S' || source, '')), 1, 12))::bigint / 281474976710656.0::double as u from documents),
 s as (select source, sum(size)::bigint as n, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from d group by source),
 l(step, level) as (
   select 0, 1.5 * sum(n) / sum(w) from s

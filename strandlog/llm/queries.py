@@ -18,5 +18,4 @@ from .toxicity import op9_toxicity
 from .wordpiece import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_neighbours, op3_quality, op4_language_id, op5_secrets, op6_packing, op7_simhash, op8_token_counts, op9_toxicity, op10_mixing)}
-#: The offsets of the driver's sources, src0 to src19; a source of another name has no row in the SQL's list of offsets.
-ORACLE_SQL: dict[str, str] = {"op10_mixing": oracle([f"src{i}" for i in range(20)])}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": oracle()}
