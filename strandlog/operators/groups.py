@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .log import TOPITION
@@ -17,7 +17,7 @@ def range_assignment(topitions: DataFrame, subscriptions: DataFrame) -> DataFram
     members = members.withColumn("members", F.count("*").over(Window.partitionBy("topic")))
     parts = topitions.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("partition")) - 1)
     parts = parts.withColumn("parts", F.count("*").over(Window.partitionBy("topic")))
-    both = parts.join(F.broadcast(members), "topic")  # one row for each member of a group and topic
+    both = parts.join(members, "topic")  # one row for each member of a group and topic
     each, more = F.floor(F.col("parts") / F.col("members")), F.col("parts") % F.col("members")
     start = F.col("at") * each + F.least("at", more)
     length = each + F.when(F.col("at") < more, 1).otherwise(0)
@@ -29,7 +29,7 @@ def round_robin_assignment(topitions: DataFrame, members: DataFrame) -> DataFram
     n = members.count()
     turns = members.withColumn("turn", F.row_number().over(Window.orderBy("member")) - 1)
     dealt = topitions.withColumn("turn", F.pmod(F.row_number().over(Window.orderBy(*TOPITION)) - 1, F.lit(n)))
-    return dealt.join(F.broadcast(turns), "turn").select("member", *TOPITION)
+    return dealt.join(turns, "turn").select("member", *TOPITION)
 
 
 def round_robin_by_subscription(topitions: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def round_robin_by_subscription(topitions: DataFrame, subscriptions: DataFrame)
                 turn += 1
             yield pd.DataFrame({"member": given, "topic": pdf["topic"], "partition": pdf["partition"]})
 
-    rows = topitions.select(*TOPITION).join(F.broadcast(heard), "topic").repartition(1).sortWithinPartitions(*TOPITION)
+    rows = topitions.select(*TOPITION).join(heard, "topic").repartition(1).sortWithinPartitions(*TOPITION)
     return rows.mapInPandas(run, "member string, topic string, partition int")
 
 
@@ -86,8 +86,19 @@ def commit_verdicts(commits: DataFrame, groups: DataFrame, members: DataFrame) -
     return rows.withColumn("verdict", verdict).select(*commits.columns, "verdict")
 
 
-def evicted(beats: DataFrame, timeout_s: int, group: list[str]) -> DataFrame:
-    """Spells of silence longer than the timeout in each member's heartbeats (columns of group, ts): last beat and seconds until the next."""
+def evicted(beats: DataFrame, timeout_s: int, group: list[str], now: Column | None = None) -> DataFrame:
+    """Spells of silence longer than the timeout in each member's heartbeats (columns of group, ts): last beat and seconds until the next, or until now."""
     later = F.lead("ts").over(Window.partitionBy(*group).orderBy("ts"))
+    later = later if now is None else F.coalesce(later, now)
     gap = F.unix_seconds(F.col("next").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
     return beats.withColumn("next", later).withColumn("silent_s", gap).where(F.col("silent_s") > timeout_s).select(*group, "ts", "silent_s")
+
+
+def paused(beats: DataFrame, rejoins: DataFrame, pause_s: int = 3) -> DataFrame:
+    """rejoins (group_id, instance, ts) of static members: whether each comes within the pause after the instance's last beat, so that its assignment is kept."""
+    key = ["group_id", "instance"]
+    both = rejoins.select(*key, "ts", F.lit(None).cast(dict(beats.dtypes)["ts"]).alias("_beat")).unionByName(beats.select(*key, "ts", F.col("ts").alias("_beat")))
+    before = Window.partitionBy(*key).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("beat", F.max("_beat").over(before)).where("_beat is null").drop("_beat")
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("beat").cast("timestamp"))) / 1_000_000
+    return own.withColumn("kept", F.coalesce(gap <= pause_s, F.lit(False)))

@@ -33,7 +33,7 @@ def partition_columns(df: DataFrame, setting: str) -> list[str]:
     names = [x.strip() for x in setting.split(",") if x.strip()]
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Partition column {name} not found in schema")
+            raise ValueError(f"no column {name} to partition by: the table has {', '.join(df.columns)}")
     return names
 
 
@@ -53,11 +53,12 @@ def merged(tables: list[DataFrame]) -> DataFrame:
 
 
 def z_value(columns: list[str], bits: int = 16) -> Column:
-    """Interleaved bits of whole-number columns, which must lie in [0, 2**bits)."""
+    """Interleaved bits of whole-number columns. What lies outside [0, 2**bits), or is null, counts as the nearest number inside (null as 0)."""
     out = F.lit(0).cast("long")
     for b in range(bits):
         for i, c in enumerate(columns):
-            bit = F.shiftright(F.col(c).cast("long"), b).bitwiseAND(F.lit(1))
+            inside = F.greatest(F.lit(0).cast("long"), F.least(F.lit((1 << bits) - 1).cast("long"), F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))))
+            bit = F.shiftright(inside, b).bitwiseAND(F.lit(1))
             out = out.bitwiseOR(F.shiftleft(bit, b * len(columns) + i))
     return out
 
@@ -71,14 +72,54 @@ def batch_path(root: str, topic: str, partition: int, offset: int) -> str:
     return f"{root}/{topic}/{partition:010d}/{offset:020d}.parquet"
 
 
-def store(df: DataFrame, root: str, database: str, topic: str, normalize: bool = False, separator: str = ".", partition: str = "", generated: dict[str, str] | None = None) -> str:
-    """Append to the table at root/database.topic, which is created where it is absent; gives its path."""
+#: Codecs of lake files by the names that batches have for them.
+COMPRESSION = {"none": "uncompressed", "gzip": "gzip", "snappy": "snappy", "lz4": "lz4", "zstd": "zstd"}
+
+
+def for_lake(log: DataFrame, topics: list[str] | None = None) -> DataFrame:
+    """What reaches lake tables: no control records, and where topics with a schema are named, only theirs."""
+    rows = log.where(F.coalesce(F.col("attributes"), F.lit(0)).bitwiseAND(32) == 0) if "attributes" in log.columns else log
+    return rows if topics is None else rows.where(F.col("topic").isin(*topics))
+
+
+def ranked(df: DataFrame, columns: list[str], bits: int = 16) -> DataFrame:
+    """df with _z0, _z1, ...: for each column the place of its value's quantile among 2**bits, so that columns of any ordered type have a z value."""
+    out = df
+    for i, c in enumerate(columns):
+        number = F.col(c).cast("double") if dict(df.dtypes)[c] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        if dict(df.dtypes)[c] == "string":
+            number = F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+        low, high = df.agg(F.min(number), F.max(number)).first()
+        span = (high - low) or 1.0 if low is not None else 1.0
+        out = out.withColumn(f"_z{i}", F.floor((number - F.lit(low or 0.0)) / span * ((1 << bits) - 1)))
+    return out
+
+
+def compacted(spark: SparkSession, at: str, files: int, z_order: list[str] | None = None) -> DataFrame:
+    """The rows of a table in `files` files of like size, in order of the z curve where columns for one are named; the caller stores it as a snapshot."""
+    df = spark.read.option("mergeSchema", "true").parquet(at)
+    if not z_order:
+        return df.repartition(files)
+    own = ranked(df, z_order)
+    names = [f"_z{i}" for i in range(len(z_order))]
+    return own.withColumn("_z", z_value(names)).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z", *names)
+
+
+def store(df: DataFrame, root: str, database: str, topic: str, normalize: bool = False, separator: str = ".", partition: str = "", generated: dict[str, str] | None = None, mode: str = "append", compression: str = "snappy", z_order: str = "") -> str:
+    """Write to the table at root/database.topic, which is created where it is absent; gives its path.
+
+    mode: append, or ignore (only create). z_order: columns of whose z curve each file gets a run.
+    """
     out = generate(df, generated or {})
     if normalize:
         out = flatten(out, separator)
     names = partition_columns(out, partition)
     at = f"{root}/{database}.{topic}"
-    out.write.mode("append").partitionBy(*names).parquet(at)
+    order = [x.strip() for x in z_order.split(",") if x.strip()]
+    if order:
+        quoted = [f"_z{i}" for i in range(len(order))]
+        out = ranked(out, order).withColumn("_z", z_value(quoted)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z", *quoted)
+    out.write.mode(mode).option("compression", COMPRESSION[compression]).partitionBy(*names).parquet(at)
     return at
 
 

@@ -16,7 +16,7 @@ def has_policy(value: Column, policy: str) -> Column:
 
 
 def compact(log: DataFrame, head: DataFrame | None = None) -> DataFrame:
-    """The last record of each key, and records without one; control records (attributes bit 32) stay. Keys in head (k) have a later record there.
+    """The last record of each key, and records without one; control records (attributes bit 32) stay. Keys in head (topic, partition, k) have a later record there.
 
     Last offsets are counted per key with partial aggregation, so a key that holds many records makes no large task.
     """
@@ -24,7 +24,7 @@ def compact(log: DataFrame, head: DataFrame | None = None) -> DataFrame:
     if "attributes" in log.columns:
         data = data.where(F.col("attributes").bitwiseAND(CONTROL) == 0)
     if head is not None:
-        data = data.join(head.select("k").where("k is not null").distinct(), "k", "left_anti").select(data.columns)
+        data = data.join(head.select(*TOPITION, "k").where("k is not null").distinct(), [*TOPITION, "k"], "left_anti").select(data.columns)
     last = data.groupBy(*TOPITION, "k").agg(F.max("offset_id").alias("offset_id"))
     kept = data.join(last, [*TOPITION, "k", "offset_id"], "left_semi")
     rest = F.col("k").isNull()
@@ -39,11 +39,21 @@ def duplicated_keys(log: DataFrame) -> DataFrame:
     return found.where("records > 1")
 
 
+def _fresh(now: Column, retention_ms: Column) -> Column:
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000
+    return ~(age > F.coalesce(retention_ms, F.lit(WEEK_MS)))
+
+
+def retain_batches(log: DataFrame, batch: str, now: Column, retention_ms: int = WEEK_MS) -> DataFrame:
+    """As retain(), but whole batches go, by the greatest time of their records: the log's head up to the first batch within retention."""
+    ends = log.groupBy(*TOPITION, batch).agg(F.max("ts").alias("ts"), F.min("offset_id").alias("_base"))
+    first = ends.where(_fresh(now, F.lit(retention_ms))).groupBy(*TOPITION).agg(F.min("_base").alias("_first"))
+    return log.join(first, TOPITION).where(F.col("offset_id") >= F.col("_first")).select(log.columns)
+
+
 def retain(log: DataFrame, now: Column, retention_ms: Column | int = WEEK_MS, prefix: bool = True) -> DataFrame:
     """Records not older than retention. prefix: only the log's head goes, up to the first record that stays."""
-    limit = retention_ms if isinstance(retention_ms, Column) else F.lit(retention_ms)
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000
-    fresh = ~(age > F.coalesce(limit, F.lit(WEEK_MS)))
+    fresh = _fresh(now, retention_ms if isinstance(retention_ms, Column) else F.lit(retention_ms))
     if not prefix:
         return log.where(fresh)
     first = log.where(fresh).groupBy(*TOPITION).agg(F.min("offset_id").alias("_first"))
@@ -62,11 +72,31 @@ def low_after(stored: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def maintained(log: DataFrame, config: DataFrame, now: Column) -> DataFrame:
-    """Deletion, then compaction, as each topic's settings (topic, policy, retention_ms) say."""
-    rows = log.join(F.broadcast(config), "topic", "left")
+    """Deletion, then compaction, as each topic's settings (topic, policy, retention_ms) say.
+
+    Deletion takes a prefix, so a key's last record is the same before and after it: both bounds are counted from the log itself, and
+    the log is read once against them.
+    """
+    rows = log.join(config, "topic", "left")
     deletes, compacts = (F.coalesce(has_policy(F.col("policy"), p), F.lit(False)) for p in ("delete", "compact"))
-    kept = rows.where(~deletes).unionByName(retain(rows.where(deletes), now, F.col("retention_ms")))
-    return kept.where(~compacts).unionByName(compact(kept.where(compacts))).select(log.columns)
+    keyed = F.col("k").isNotNull()
+    if "attributes" in log.columns:
+        keyed = keyed & (F.col("attributes").bitwiseAND(CONTROL) == 0)
+    first = rows.where(deletes & _fresh(now, F.col("retention_ms"))).groupBy(*TOPITION).agg(F.min("offset_id").alias("_first"))
+    last = rows.where(compacts & keyed).groupBy(*TOPITION, "k").agg(F.max("offset_id").alias("offset_id")).withColumn("_last", F.lit(True))
+    kept = rows.join(first, TOPITION, "left").where(~deletes | F.coalesce(F.col("offset_id") >= F.col("_first"), F.lit(False)))
+    return kept.join(last, [*TOPITION, "k", "offset_id"], "left").where(~compacts | ~keyed | F.col("_last").isNotNull()).select(log.columns)
+
+
+def compacted_batches(log: DataFrame, marks: DataFrame, batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compaction of stored batches: (records that stay, batches that are left, marks with low at the first survivor). Control batches are not touched."""
+    kept = compact(log)
+    left = kept.groupBy(*TOPITION, batch).agg(F.min("offset_id").alias("base_offset"), F.count("*").alias("records"))
+    return kept, left, low_after(marks, kept)
+
+
+def distinct_keys(log: DataFrame) -> DataFrame:
+    return log.where(F.col("k").isNotNull()).select(*TOPITION, "k").distinct()
 
 
 def drop_topic(relations: dict[str, DataFrame], topic: str) -> dict[str, DataFrame]:
@@ -86,5 +116,3 @@ def accumulated(stored: DataFrame, new: DataFrame, key: list[str], add: list[str
     """Sums, least and greatest values over stored and new rows of each key."""
     both = stored.unionByName(new)
     return both.groupBy(*key).agg(*[F.sum(c).alias(c) for c in add], *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high])
-
-

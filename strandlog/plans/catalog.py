@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import json_schema, scalar
 from strandlog.operators import groups, lake, log, maintenance, transactions
-from strandlog.sources.tables import EVENTS_SQL, events, relation, relation_sql
+from strandlog.sources.tables import EVENTS_SQL, events, events_store, relation, relation_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,19 +25,12 @@ TXNS = "txn string, status string, topic string, partition int, offset_start lon
 COMMITS = "group_id string, topic string, partition int, committed long, seq long", [("g1", "click", 0, 10, 1), ("g1", "click", 0, 25, 2), ("g1", "view", 1, 3, 3), ("g2", "click", 0, 0, 4), ("g2", "purchase", 3, 7, 5), ("g1", "view", 1, 2, 6)]
 MEMBERS = "topic string, member string", [("click", "m1"), ("click", "m2"), ("click", "m3"), ("view", "m2"), ("view", "m3"), ("purchase", "m1")]
 ALL_MEMBERS = "member string", [("m1",), ("m2",), ("m3",)]
-BATCHES = "producer_id long, epoch int, topic string, partition int, arrival long, base_sequence long, records long", [
-    (1, 0, "click", 0, 1, 0, 3), (1, 0, "click", 0, 2, 3, 2), (1, 0, "click", 0, 3, 3, 2), (1, 0, "click", 0, 4, 9, 1), (1, 0, "click", 0, 5, 5, 1), (2, 0, "click", 0, 6, 0, 1),
-    (2, 2, "click", 0, 7, 0, 1), (3, 0, "click", 0, 8, 0, 1), (2, 1, "click", 1, 9, 0, 4), (2, 1, "click", 1, 10, 4, 1),
-]
-VERDICTS = ["NONE", "NONE", "DUPLICATE_SEQUENCE_NUMBER", "OUT_OF_ORDER_SEQUENCE_NUMBER", "NONE", "PRODUCER_FENCED", "INVALID_PRODUCER_EPOCH", "UNKNOWN_PRODUCER_ID", "NONE", "NONE"]
-PRODUCERS = "producer_id long, epoch int", [(1, 0), (2, 1)]
 GROUPS = "group_id string, formed boolean, members int, current int", [("g1", True, 2, 5), ("g2", False, 1, 1), ("g3", False, 0, 0)]
 GROUP_MEMBERS = "group_id string, member string", [("g1", "a"), ("g1", "b"), ("g2", "c")]
 GROUP_COMMITS = "group_id string, member string, generation int", [("g1", "a", 5), ("g1", "b", 4), ("g1", "x", 5), ("g2", "c", 9), ("g3", "", -1), ("g1", "", 5), ("g9", "", 0)]
 SETTINGS = "name string, value string, operation string, change string", [("a", "x,y", "APPEND", "y,z"), ("b", "x,y", "SUBTRACT", "y"), ("c", None, "SET", "q"), ("d", "x", "DELETE", None), ("e", None, "APPEND", "k")]
 NAMES = "name string", [("orders",), (".",), ("..",), ("a b",), ("a-b_c.9",), ("",), ("x" * 249,), ("x" * 250,), ("é",)]
 EPOCHS = "producer_id long, epoch int", [(1, 0), (1, 1), (2, 0), (3, None)]
-BEATS_TIMEOUT = 45
 
 
 def query(sql: str | None = None):
@@ -59,7 +52,8 @@ def _with(**relations: tuple[str, list[tuple]]) -> str:
 @query(""", f as (select *, strlen(k) + strlen(v) as size, sum(strlen(k) + strlen(v)) over (partition by topic, "partition" order by offset_id) as spent from log where offset_id >= 10)
 select topic, "partition", offset_id, k, v, cast(size as bigint) as size from f where spent < 4096""")
 def fetch(spark, sf):
-    return log.fetch(events(spark, sf), 10, 4096).select("topic", "partition", "offset_id", "k", "v", "size")
+    own = events_store(spark, sf)
+    return log.fetch(own.log, 10, 4096, marks=own.marks).select("topic", "partition", "offset_id", "k", "v", "size")
 
 
 @query(""", f as (select *, coalesce(sum(strlen(k) + strlen(v)) over (partition by topic, "partition" order by offset_id rows between unbounded preceding and 1 preceding), 0) as spent from log where offset_id >= 0 and offset_id < 500)
@@ -75,7 +69,8 @@ def fetch_keyed(spark, sf):
 
 
 @query(""", a as (select *, strlen(k) + strlen(v) as size, sum(strlen(k) + strlen(v)) over (partition by topic, "partition" order by offset_id) as own from log),
-b as (select *, sum(size) over (order by topic, "partition", offset_id) as spent from a where own < 1000)
+f as (select topic, "partition" from log order by all limit 1), c as (select * from a where own < 1000 or (topic, "partition") in (select (topic, "partition") from f) and own < 5000),
+b as (select *, sum(size) over (order by topic, "partition", offset_id) as spent from c)
 select topic, "partition", offset_id from b where spent < 5000""")
 def fetch_across(spark, sf):
     return log.fetch_across(events(spark, sf), 0, 5000, 1000).select("topic", "partition", "offset_id")
@@ -128,10 +123,12 @@ def batches(spark, sf):
     return log.batches(events(spark, sf), ["k"])
 
 
-@query(""", s as (select * from log where offset_id % 97 <> 50), n as (select *, row_number() over (partition by topic, "partition" order by offset_id) - 1 as place from s)
+@query(""", h as (select topic, "partition", max(offset_id) // 2 + "partition" as gap from log group by topic, "partition"), s as (select log.* from log join h using (topic, "partition") where offset_id <> gap), n as (select *, row_number() over (partition by topic, "partition" order by offset_id) - 1 as place from s)
 select topic, "partition", count(*) as records from n where place = offset_id group by all""")
 def contiguous(spark, sf):
-    return log.contiguous(events(spark, sf).where("offset_id % 97 <> 50")).groupBy("topic", "partition").agg(F.count("*").alias("records"))
+    own = events_store(spark, sf)
+    gap = own.marks.select("topic", "partition", (F.floor((F.col("high") - 1) / 2) + F.col("partition")).alias("offset_id"))
+    return log.contiguous(own.log.join(gap, ["topic", "partition", "offset_id"], "left_anti")).groupBy("topic", "partition").agg(F.count("*").alias("records"))
 
 
 @query(""", h as (select topic, "partition", offset_id, 'type' as hk, topic as hv from log where offset_id % 2 = 0 union all select topic, "partition", offset_id, 'user', k from log where offset_id % 3 = 0)
@@ -190,38 +187,19 @@ def watermark_view(spark, sf):
     return transactions.stable_offsets(log.watermarks(events(spark, sf)), relation(spark, *TXNS))
 
 
-_STABLE = _with(txns=TXNS) + """, s as (select topic, "partition", min(offset_start) as stable from txns where status in ('BEGIN', 'PREPARE_COMMIT', 'PREPARE_ABORT') group by all),
-b as (select log.* from log left join s using (topic, "partition") where stable is null or offset_id < stable)"""
-
-
-@query(_STABLE + """ select topic, "partition", offset_id from b where not exists (select 1 from txns t where t.status = 'ABORTED' and t.topic = b.topic and t."partition" = b."partition" and b.offset_id between offset_start and offset_end)""")
-def read_committed(spark, sf):
-    rows = events(spark, sf)
-    return transactions.read_committed(rows, log.watermarks(rows), relation(spark, *TXNS)).select("topic", "partition", "offset_id")
-
-
-@query(_STABLE + """ select topic, "partition", offset_id from b""")
-def read_committed_compat(spark, sf):
-    rows = events(spark, sf)
-    return transactions.read_committed(rows, log.watermarks(rows), relation(spark, *TXNS), hide_aborted=False).select("topic", "partition", "offset_id")
-
-
 @query(_with(txns=TXNS) + """ select o.txn, o.status, o.topic, o."partition", o.offset_start, o.offset_end from txns o join txns t on o.topic = t.topic and o."partition" = t."partition" and t.txn = 't5' and o.txn <> 't5'
 where o.offset_start < t.offset_end and o.status in ('BEGIN', 'PREPARE_COMMIT', 'PREPARE_ABORT')""")
 def overlapping_transactions(spark, sf):
     return transactions.overlapping(relation(spark, *TXNS), "t5")
 
 
-@query(_with(txns=TXNS) + """ select txn, case when txn in ('t7') then 'COMMITTED' when txn = 't5' then 'COMMITTED' else status end as status, topic, "partition", offset_start, offset_end from txns""")
+@query(_with(txns=TXNS) + """, near as (select distinct o.txn, o.status from txns o join txns t on o.topic = t.topic and o."partition" = t."partition" and t.txn = 't5' and o.txn <> 't5' where o.offset_start < t.offset_end and o.status in ('BEGIN', 'PREPARE_COMMIT', 'PREPARE_ABORT')),
+w as (select coalesce(bool_or(status = 'BEGIN'), false) as waits from near)
+select txn, case when txn = 't5' then case when waits then 'PREPARE_COMMIT' else 'COMMITTED' end when txn in (select txn from near) and not waits then replace(replace(status, 'PREPARE_COMMIT', 'COMMITTED'), 'PREPARE_ABORT', 'ABORTED') else status end as status, topic, "partition", offset_start, offset_end from txns, w""")
 def end_transaction(spark, sf):
     return transactions.end(relation(spark, *TXNS), "t5", commit=True)
 
 
-@query(_with(b=("producer_id long, epoch int, topic string, partition int, arrival long, base_sequence long, records long, verdict string", [(*r, v) for r, v in zip(BATCHES[1], VERDICTS, strict=True)])) + " select * from b")
-def idempotence(spark, sf):
-    return transactions.sequence_check(relation(spark, *BATCHES), relation(spark, *PRODUCERS))
-
-
 @query(_with(e=EPOCHS) + " select producer_id, cast(coalesce(max(epoch) + 1, 0) as integer) as epoch from e group by all")
 def next_epochs(spark, sf):
     return transactions.next_epochs(relation(spark, *EPOCHS))
@@ -281,11 +259,6 @@ def commit_fencing(spark, sf):
     return groups.commit_verdicts(relation(spark, *GROUP_COMMITS), relation(spark, *GROUPS), relation(spark, *GROUP_MEMBERS))
 
 
-@query(f""", n as (select k, ts, lead(ts) over (partition by k order by ts) as next from log) select k, ts, cast(floor(epoch_us(next) / 1e6) - floor(epoch_us(ts) / 1e6) as bigint) as silent_s from n where floor(epoch_us(next) / 1e6) - floor(epoch_us(ts) / 1e6) > {BEATS_TIMEOUT * 100}""")
-def session_eviction(spark, sf):
-    return groups.evicted(events(spark, sf).select("k", "ts"), BEATS_TIMEOUT * 100, ["k"])
-
-
 def _nested(spark, sf):
     return events(spark, sf).select(lake.meta(F.col("partition"), F.col("ts")).alias("meta"), F.col("k").alias("key"), F.struct(F.col("event_id"), F.struct("value", "v").alias("body")).alias("value"))
 
@@ -301,10 +274,11 @@ def generated_columns(spark, sf):
     return out.select("value.event_id", "date", "whole")
 
 
-@query(""" select event_id, case when topic = 'click' then null else k end as k, case when topic = 'view' then value end as value from log where topic in ('click', 'login', 'view')""")
+@query(""" select event_id, case when topic in ('click', 'error') then null else k end as k, case when topic in ('view', 'purchase') then value end as value from log""")
 def added_columns(spark, sf):
     rows = events(spark, sf)
-    return lake.merged([rows.where("topic = 'click'").select("event_id"), rows.where("topic = 'login'").select("event_id", "k"), rows.where("topic = 'view'").select("event_id", "k", "value")])
+    steps = (F.col("topic").isin("click", "error"), F.col("topic").isin("view", "purchase"))
+    return lake.merged([rows.where(steps[0]).select("event_id"), rows.where(~steps[0] & ~steps[1]).select("event_id", "k"), rows.where(steps[1]).select("event_id", "k", "value")])
 
 
 @query(""" select event_id, cast(list_sum([(((event_id % 16) >> b) & 1) * (1 << (2 * b)) + ((("partition") >> b) & 1) * (1 << (2 * b + 1)) for b in range(4)]) as bigint) as z from log""")
@@ -337,7 +311,8 @@ def topic_names(spark, sf):
     return relation(spark, *NAMES).select("name", scalar.topic_name_ok(F.col("name")).alias("ok"))
 
 
-@query(_with(s=SETTINGS) + """ select name, case operation when 'SET' then change when 'DELETE' then null when 'APPEND' then case name when 'a' then 'x,y,z' else 'k' end when 'SUBTRACT' then 'x' end as value from s""")
+@query(_with(s=SETTINGS) + """, l as (select *, list_filter(string_split(coalesce(value, ''), ','), lambda x: x <> '') as own, list_filter(string_split(coalesce(change, ''), ','), lambda x: x <> '') as more from s)
+select name, case operation when 'SET' then change when 'DELETE' then null when 'APPEND' then array_to_string(list_concat(own, list_filter(more, lambda x: not list_contains(own, x))), ',') when 'SUBTRACT' then array_to_string(list_filter(own, lambda x: not list_contains(more, x)), ',') end as value from l""")
 def alter_settings(spark, sf):
     return relation(spark, *SETTINGS).select("name", scalar.altered(F.col("value"), F.col("operation"), F.col("change")).alias("value"))
 

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.operators.log import append
+from .store import LogStore, kept
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_store(spark: SparkSession, sf_dir: str) -> LogStore:
     """A topic for each event type with four partitions by user; the key is the user, the value the properties."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    path = f"{sf_dir}/events.parquet"
+    return kept(spark, path, lambda: _event_rows(spark, path), ["ts", "event_id"])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_store(spark, sf_dir).log
+
+
+def _event_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(
         F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), "ts", "event_id",
         F.col("user_id").cast("string").alias("k"), F.col("props").alias("v"), "value",
     )
-    return append(None, rows, ["ts", "event_id"])
 
 
 #: The same in DuckDB.
@@ -22,13 +30,6 @@ EVENTS_SQL = """select event_type as topic, cast(user_id % 4 as integer) as "par
   row_number() over (partition by event_type, user_id % 4 order by ts, event_id) - 1 as offset_id from events"""
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A topic for each role, keyed by conversation."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rows = rows.select(F.col("role").alias("topic"), (F.col("conv_id") % 8).cast("int").alias("partition"), "conv_id", "turn", F.col("conv_id").cast("string").alias("k"), F.col("text").alias("v"))
-    return append(None, rows, ["conv_id", "turn"])
-
-
 def relation(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """A small literal relation; columns as DDL."""
     return spark.createDataFrame(rows, columns)

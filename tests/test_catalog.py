@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from strandlog.plans import catalog, catalog_views
+from strandlog.plans import catalog, catalog_state, catalog_views
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = catalog.QUERIES | catalog_views.QUERIES, catalog.ORACLE_SQL | catalog_views.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | catalog_views.QUERIES | catalog_state.QUERIES, catalog.ORACLE_SQL | catalog_views.ORACLE_SQL | catalog_state.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def rows(columns, found):
     return sorted(str([r[i] for i in at]) for r in found)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_as_in_duckdb(spark, duck, name):
     own, other = QUERIES[name](spark, DATA), duck.sql(ORACLE_SQL[name])
     assert sorted(own.columns) == sorted(other.columns)
