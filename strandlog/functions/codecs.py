@@ -51,12 +51,22 @@ def avro_value(s, value):
     return value
 
 
-def plain(value):
-    """A decoded value as JSON has it."""
-    if isinstance(value, dict):
-        return {k: plain(x) for k, x in value.items()}
-    if isinstance(value, list | tuple):
-        return [plain(x) for x in value]
+def plain(s, value):
+    """A decoded value of an Avro schema as JSON has it; a union is the value of its branch."""
+    if value is None:
+        return None
+    if isinstance(s, list):
+        rest = [x for x in s if x != "null"]
+        if len(rest) == 1:
+            return plain(rest[0], value)
+        return next((plain(x, value[f"field{i + 1}"]) for i, x in enumerate(s) if value[f"field{i + 1}"] is not None), None)
+    name = s if isinstance(s, str) else s["type"]
+    if name == "record":
+        return {f["name"]: plain(f["type"], value[f["name"]]) for f in s["fields"]}
+    if name == "array":
+        return [plain(s["items"], x) for x in value]
+    if name == "map":
+        return {k: plain(s["values"], x) for k, x in value.items()}
     if isinstance(value, bytes):
         return value.decode("latin-1")
     if isinstance(value, dt.datetime | dt.date | dt.time):
@@ -89,7 +99,7 @@ def json_to_avro(column: Column, schema: str) -> Column:
 
 def avro_to_json(column: Column, schema: str) -> Column:
     parsed = avro.parse(schema)
-    return _column(column, "string", lambda: lambda x: json.dumps(plain(avro.read(parsed, bytes(x))[0]), separators=(",", ":"), ensure_ascii=False))
+    return _column(column, "string", lambda: lambda x: json.dumps(plain(parsed, avro.read(parsed, bytes(x))[0]), separators=(",", ":"), ensure_ascii=False))
 
 
 def _protobuf(text: str, name: str, encode: bool) -> Callable[[], Callable]:

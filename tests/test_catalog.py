@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from strandlog.plans import catalog, catalog_state, catalog_views
+from strandlog.plans import catalog, catalog_io, catalog_state, catalog_views
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = catalog.QUERIES | catalog_views.QUERIES | catalog_state.QUERIES, catalog.ORACLE_SQL | catalog_views.ORACLE_SQL | catalog_state.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | catalog_views.QUERIES | catalog_state.QUERIES | catalog_io.QUERIES, catalog.ORACLE_SQL | catalog_views.ORACLE_SQL | catalog_state.ORACLE_SQL | catalog_io.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

@@ -19,11 +19,13 @@ def records_of(spark, *kv):
 
 
 def test_compaction_keeps_the_last_of_a_key(spark):
-    rows = records_of(spark, ("alpha", "one"), ("alpha", "two"), (None, "x"), ("alpha", "three"), ("b", "1"))
+    rows = records_of(spark, ("sensor-7", "19C"), (None, "boot"), ("sensor-9", "4C"), ("sensor-7", "21C"), (None, "halt"), ("sensor-7", None))
     kept = maintenance.compact(rows)
-    assert sorted((r.offset_id, r.v) for r in kept.collect()) == [(2, "x"), (3, "three"), (4, "1")]
+    assert sorted((r.offset_id, r.v) for r in kept.collect()) == [(1, "boot"), (2, "4C"), (4, "halt"), (5, None)]
     assert sorted(map(str, maintenance.compact(kept).collect())) == sorted(map(str, kept.collect()))
-    assert [r.offset_id for r in maintenance.compact(rows, head=records_of(spark, ("alpha", "later"))).orderBy("offset_id").collect()] == [2, 4]
+    head = records_of(spark, ("sensor-9", "5C"))
+    assert [r.offset_id for r in maintenance.compact(rows, head=head).orderBy("offset_id").collect()] == [1, 4, 5]
+    assert maintenance.compact(rows, head=head.withColumn("topic", F.lit("other"))).count() == 4
 
 
 def test_retention_by_row_and_by_prefix(spark):
@@ -50,7 +52,7 @@ def test_fetch_pages_make_the_whole_log(spark):
 def test_flatten_partition_and_merge(spark, tmp_path):
     df = spark.range(3).select(F.struct(F.col("id").alias("vendor_id"), F.lit(T0).alias("timestamp")).alias("meta"))
     assert lake.flatten(df).columns == ["meta.vendor_id", "meta.timestamp"]
-    with pytest.raises(ValueError, match="Partition column meta.vendor_id not found in schema"):
+    with pytest.raises(ValueError, match="no column meta.vendor_id to partition by"):
         lake.partition_columns(df, "meta.vendor_id")
     at = lake.store(df, str(tmp_path), "db", "taxi", normalize=True, partition="meta.vendor_id", generated={"date": "cast(meta.timestamp as date)"})
     back = spark.read.parquet(at)
@@ -69,8 +71,8 @@ def test_json_validation_and_types(spark):
     assert [r[0] for r in df.select(json_schema.valid(F.col("v"), person)).collect()] == [True, False, False, False, False, False, False]
     with pytest.raises(json_schema.NoCommonType):
         json_schema.decoded(spark.createDataFrame([('{"a": 1}',), ('{"a": "x"}',)], "v string"), "v")
-    with pytest.raises(ValueError, match="allOf"):
-        json_schema.valid(F.col("v"), {"allOf": []})
+    with pytest.raises(ValueError, match="dependentRequired"):
+        json_schema.valid(F.col("v"), {"dependentRequired": {}})
 
 
 AVRO = '{"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"]}, {"name": "c", "type": {"type": "array", "items": "double"}}, {"name": "d", "type": {"type": "map", "values": "int"}}, {"name": "e", "type": {"type": "enum", "name": "u", "symbols": ["X", "Y"]}}, {"name": "t", "type": {"type": "long", "logicalType": "timestamp-micros"}}]}'
