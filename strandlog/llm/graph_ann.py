@@ -108,8 +108,8 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = 48, alpha: float = ALPHA, seed: int = 1) -> tuple[np.ndarray, int]:
-    """(graph, entry) over the rows of x."""
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = ALPHA, seed: int = 1) -> tuple[np.ndarray, int]:
+    """(graph, entry) over the rows of x, in one pass: each point's edges are chosen once, with alpha, and reverse edges prune as they come."""
     n = len(x)
     norm = (x * x).sum(axis=1)
     entry = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
@@ -118,27 +118,26 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 48, alpha: float = AL
     if n > 1:
         first = draw.integers(0, n - 1, (n, min(8, degree)))
         graph[:, : first.shape[1]] = first + (first >= np.arange(n)[:, None])
-    for factor in (1.0, alpha):
-        order = draw.permutation(n)
-        for a in range(0, n, BLOCK):
-            p = order[a : a + BLOCK]
-            found, _ = beam_search(x, norm, graph, entry, x[p], beam)
-            graph[p] = robust_prune(x, p, np.concatenate([found, graph[p]], axis=1), degree, factor)
-            to, of = graph[p].ravel(), np.repeat(p, degree)
-            of, to = of[to >= 0], to[to >= 0]
-            rank = np.argsort(to, kind="stable")
-            of, to = of[rank], to[rank]
-            ends, first, count = np.unique(to, return_index=True, return_counts=True)
-            wide = np.full((len(ends), int(count.max(initial=0))), -1, np.int32)
-            wide[np.repeat(np.arange(len(ends)), count), np.arange(len(to)) - np.repeat(first, count)] = of
-            room = (graph[ends] >= 0).sum(axis=1)
-            roomy = room + count <= degree
-            for j, r, own, k in zip(ends[roomy], room[roomy], wide[roomy], count[roomy], strict=True):
-                new = own[:k][~np.isin(own[:k], graph[j])]
-                graph[j, r : r + len(new)] = new
-            if not roomy.all():
-                tight = ends[~roomy]
-                graph[tight] = robust_prune(x, tight, np.concatenate([graph[tight], wide[~roomy]], axis=1), degree, factor)
+    order = draw.permutation(n)
+    for a in range(0, n, BLOCK):
+        p = order[a : a + BLOCK]
+        found, _ = beam_search(x, norm, graph, entry, x[p], beam)
+        graph[p] = robust_prune(x, p, np.concatenate([found, graph[p]], axis=1), degree, alpha)
+        to, of = graph[p].ravel(), np.repeat(p, degree)
+        of, to = of[to >= 0], to[to >= 0]
+        rank = np.argsort(to, kind="stable")
+        of, to = of[rank], to[rank]
+        ends, first, count = np.unique(to, return_index=True, return_counts=True)
+        wide = np.full((len(ends), int(count.max(initial=0))), -1, np.int32)
+        wide[np.repeat(np.arange(len(ends)), count), np.arange(len(to)) - np.repeat(first, count)] = of
+        room = (graph[ends] >= 0).sum(axis=1)
+        roomy = room + count <= degree
+        for j, r, own, k in zip(ends[roomy], room[roomy], wide[roomy], count[roomy], strict=True):
+            new = own[:k][~np.isin(own[:k], graph[j])]
+            graph[j, r : r + len(new)] = new
+        if not roomy.all():
+            tight = ends[~roomy]
+            graph[tight] = robust_prune(x, tight, np.concatenate([graph[tight], wide[~roomy]], axis=1), degree, alpha)
     return graph, entry
 
 
