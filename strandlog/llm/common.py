@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +68,36 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._strandlog_path = at
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes within are deleted at the end, but for those given to the function that this yields, which go to the block around it."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scratch.append(own)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for df in own:
+            if not any(df is x for x in kept):
+                discard(df)
+            elif _scratch:
+                _scratch[-1].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written(), once nothing will read it again."""
     at = getattr(df, "_strandlog_path", None)
@@ -92,7 +120,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def sampled(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """About `most` rows at most, picked by a hash of the key: the same rows in every run. Bounds what training collects."""
+    """About `most` rows at most, picked by a hash of the key: the same rows in every run. Bounds what training collects.
+
+    The key should tell rows apart, text and all: rows that share it are taken all or none.
+    """
     n = df.count()
     if n <= most:
         return df

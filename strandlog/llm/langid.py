@@ -97,7 +97,7 @@ def train(rows: DataFrame, most: int = MAX_TRAIN) -> Model:
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs[lang]))], names=["lang", "slot", "n"])
 
-    known = sampled(rows.where("lang is not null and text is not null"), F.col("doc_id"), most)
+    known = sampled(rows.where("lang is not null and text is not null"), F.xxhash64("doc_id", "text"), most)
     counts = known.select("text", "lang").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     tally, prior = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))

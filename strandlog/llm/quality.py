@@ -6,7 +6,7 @@ row is kept if no fixed rule fails and the probability of being good reaches `ke
 
 Rows: a null text has no words and fails the rules, as does an empty one. Without labelled rows the classifier keeps all. Labels that are
 null are not learned from; an id labelled twice counts with its least label. Repeated rows are scored each; extra columns are ignored; whole
-texts are read.
+texts are read, whatever their length. An empty table gives an empty result. A probability of exactly `keep_at` is kept.
 """
 
 from __future__ import annotations
@@ -106,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     known = sampled(labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label")), F.col("doc_id"), most)
     known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)).cast("int"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # `most` rows of three numbers
+    rows = rows.groupBy("doc_id", "label", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that share an id, one
     got = rows.select("doc_id", "text", "label", "part").mapInArrow(run, "label int, part int, slot array<int>, value array<float>").toArrow()
     size = (1 << WORD_BITS) + (1 << CHAR_BITS)
     y, part = np.asarray(got["label"], float), np.asarray(got["part"])

@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sampled(known, F.col("doc_id"), most)), "doc_id")  # `most` rows of two numbers
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that share an id, one
     got = rows.select("doc_id", "text", "label").mapInArrow(run, "label int, words array<string>").toArrow()
     return fitted(Lists(got["words"]), np.asarray(got["label"], float))
 

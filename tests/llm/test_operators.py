@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandlog.llm import graph_ann, html_text, langid, mixing, packing, quality, secrets, simhash, toxicity, wordpiece
-from strandlog.llm.common import fold
+from strandlog.llm.common import fold, scratch, shared_dir, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, size string"
 EN, DE = "the and that with from have this there were they".split(), "und der die das nicht ein mit auf für sich".split()
@@ -41,6 +41,29 @@ def none(docs):
     return docs.where("false")
 
 
+def test_scratch_tables_go(spark, docs, tmp_path):
+    """What a block makes is deleted at its end but for what it keeps; results that were kept can still be read."""
+    import os
+
+    def tables():
+        return {x for x in os.listdir(shared_dir(spark)) if x.startswith("strandlog-")}
+
+    before = tables()
+    with scratch() as keep:
+        one = keep(written(docs.select("doc_id")))
+        with scratch() as inner:
+            written(docs)
+            two = inner(written(docs.select("text")))
+        assert len(tables() - before) == 2 and two.count() == docs.count()
+    assert len(tables() - before) == 1 and one.count() == docs.count()
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = tables()
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.count() > 0 and len(tables() - before) <= 4  # the last stage's own, which its rows are read from
+
+
 def test_fold(spark):
     got = spark.createDataFrame([(i,) for i in range(200)], "i long").select(fold(F.col("i"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) % 4 for i in range(200)]
@@ -256,6 +279,62 @@ def test_quality(spark, docs, none):
     assert quality.judged(none, free).count() == 0
 
 
+def plain_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words by the words of the rules."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    inside = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
+
+
+def plain_grams(text, n, bits):
+    for i in range(len(text) - n + 1):
+        h = n * 0x9E3779B9
+        for c in text[i : i + n]:
+            h = (h * 0x100000001B3 + ord(c)) & (1 << 64) - 1
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & (1 << 64) - 1
+        yield (h ^ h >> 29) >> 64 - bits
+
+
+def test_quality_as_brute_force(spark, docs):
+    """Counts by the rules' words, probabilities feature by feature; nulls, empty and long texts, ties, repeated rows and texts, clashing columns."""
+    draw = random.Random(15)
+    odd = ["", None, " \n\x0b ", "a\nb\na\n\n\nb", "x y z x y z x y z x y z", "é# b\n日本 $$\n", "w " * 900, "a\u00a0b c\x85d\u2028e " * 3]
+    odd += ["".join(draw.choices(["a", "b", " ", "\n", "#", "é", "a b c d e ", "\t"], k=draw.randint(0, 90))) for _ in range(60)]
+    rows = [(i, t, str(i % 2), True) for i, t in enumerate([*odd, *odd])] + [(3, odd[3], "0", False), (None, "no id", "0", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, base_failed boolean").repartition(4)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(len(rows))] + [(1, 0), (2, None), (5, 7)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    got = quality.judged(df, model).collect()
+    assert sorted(map(str, got)) == sorted(map(str, quality.judged(df.repartition(9), quality.train(df.repartition(7), labels)).collect()))
+    texts = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        own = plain_counts(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == own, repr(text)
+        assert r.base_failed == (own[0] < 10 or 100 * own[4] > 20 * own[0])
+        said = model.bias
+        for slots_, weights in ((collections.Counter(zlib.crc32(w.encode()) & 2**14 - 1 for w in re.findall(r"[^\x20\x09-\x0D]+", text)), model.words), (collections.Counter(g for n in (2, 3) for g in plain_grams(text, n, 13)), model.grams)):
+            total = sum(slots_.values())
+            said += sum(math.sqrt(n / total) * weights[k] for k, n in slots_.items())
+        p = 1 / (1 + math.exp(-max(-35, min(35, model.scale[0] * said + model.scale[1]))))
+        assert abs(r.p_good - p) < 1e-9 and r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
+def test_toxicity_as_brute_force(spark, docs):
+    """Scores word by word, of the model's own weights."""
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(130)], "doc_id long, toxic int")
+    model = toxicity.train(docs.where("doc_id is not null"), labels)
+    texts = {(r.doc_id, r.source): r.text or "" for r in docs.collect()}
+    for r in toxicity.scored(docs, model).collect():
+        own = {w for w in re.findall(r"[^\W\d_]+", texts[r.doc_id, r.source].lower())}
+        found = own | {w[:n] + "*" for w in own for n in range(3, 8) if n <= len(w)}
+        said = model.bias + sum(model.weights.get(f, 0.0) for f in found)
+        assert abs(r[-2] - 1 / (1 + math.exp(-max(-35, min(35, said))))) < 1e-9 and r.predicted == int(r[-2] >= 0.3)
+
+
 def test_toxicity(spark, none):
     draw = random.Random(6)
     rows = []
