@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm import langid, mixing, packing, secrets, simhash
-from strandlog.llm.common import small_batches, table, written
+from strandlog.llm.common import discard, scratch, small_batches, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's table, and what it was made from, is deleted once the next one is written. The last one's input stays until the caller has read the rows."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            after = keep(written(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
