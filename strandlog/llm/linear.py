@@ -10,19 +10,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Sparse rows: slots and values of row i at starts[i]:starts[i + 1]."""
+    """Sparse rows by row and, for products from the left, by slot: both are sums over runs."""
 
     def __init__(self, slots: list[np.ndarray], values: list[np.ndarray], size: int):
         self.n, self.size = len(slots), size
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in slots])
+        row = np.repeat(np.arange(self.n), [len(x) for x in slots])
         self.slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
         self.value = np.concatenate(values) if values else np.zeros(0)
+        self.rows, self.starts = np.unique(row, return_index=True)
+        order = np.argsort(self.slot, kind="stable")
+        self.row, self.turned = row[order], self.value[order]
+        self.slots, self.firsts = np.unique(self.slot[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.slot] * self.value, minlength=self.n)
+        out = np.zeros(self.n)
+        if len(self.slot):
+            out[self.rows] = np.add.reduceat(w[self.slot] * self.value, self.starts)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slot, g[self.row] * self.value, minlength=self.size)
+        out = np.zeros(self.size)
+        if len(self.slot):
+            out[self.slots] = np.add.reduceat(g[self.row] * self.turned, self.firsts)
+        return out
 
 
 def fit(x: Rows, y: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.3, weight: np.ndarray | None = None, pairs: tuple[Rows, Rows] | None = None, pull: float = 0.0) -> tuple[np.ndarray, float]:
