@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import json_schema
+from strandlog.sources.store import written
 
 from .log import TOPITION
 from .transactions import CONTROL, sequence_check
@@ -66,10 +67,10 @@ def produce(rows: DataFrame, marks: DataFrame, producers: DataFrame, own: DataFr
     rows = rows.join(own.select("topic", "schema_validation", "lake_sink", "message_timestamp_type"), "topic", "left")
     rows = rows.withColumn("_ok", (F.coalesce("schema_validation", F.lit("true")) == "false") | (F.col("attributes").bitwiseAND(CONTROL) != 0) | _valid(schemas))
     batches = rows.groupBy("batch", "arrival", *TOPITION, "producer_id", "epoch", "base_sequence").agg(F.count("*").alias("n"), F.every("_ok").alias("ok"))
-    batches = batches.withColumn("records", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)))
+    batches = written(batches.withColumn("records", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0))))  # a row a batch, read several times
     checked = sequence_check(batches.where("producer_id is not null"), producers)
     said = checked.unionByName(batches.where("producer_id is null").withColumn("verdict", F.lit("NONE")))
-    said = said.withColumn("verdict", F.when((F.col("verdict") == "NONE") & ~F.col("ok"), "INVALID_RECORD").otherwise(F.col("verdict")))
+    said = written(said.withColumn("verdict", F.when((F.col("verdict") == "NONE") & ~F.col("ok"), "INVALID_RECORD").otherwise(F.col("verdict"))))
     good = said.where("verdict = 'NONE'").select("batch")
     place = F.row_number().over(Window.partitionBy(*TOPITION).orderBy("arrival", "place")) - 1
     taken = rows.join(good, "batch", "left_semi").join(marks.select(*TOPITION, "high"), TOPITION, "left")
