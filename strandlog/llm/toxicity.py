@@ -133,8 +133,17 @@ def fitted(docs: Sequence[Iterable[str]], y: np.ndarray, groups: tuple[tuple[str
     kept = sorted((f for f, z in told.items() if z >= LEAST_Z or f in names), key=lambda f: (-told[f], f))[:MAX_FEATURES]
     place = {f: i for i, f in enumerate(kept)}
 
+    known: dict[str, tuple[int, ...]] = {}
+
     def at(own: Iterable[str]) -> np.ndarray:
-        return np.array(sorted(place[f] for f in all_features(own) if f in place), np.int64)
+        found: set[int] = set()
+        for x in own:
+            some = known.get(x)
+            if some is None:
+                some = known[x] = tuple(place[f] for f in features(x) if f in place)
+            if some:
+                found.update(some)
+        return np.array(sorted(found), np.int64)
 
     def rows(some: list[np.ndarray]) -> Rows:
         return Rows(some, [np.ones(len(x)) for x in some], len(place))
