@@ -199,6 +199,18 @@ def page(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFram
     return rows.orderBy(*TOPITION).limit(limit)
 
 
+def timed_batches(log: DataFrame, wait_ms: int, most: int) -> DataFrame:
+    """log with slot and batch: records of one span of wait_ms, in order, in batches of `most` at most."""
+    rows = log.withColumn("slot", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1000 * wait_ms)))
+    place = F.row_number().over(Window.partitionBy(*TOPITION, "slot").orderBy("offset_id")) - 1
+    return rows.withColumn("batch", F.floor(place / most))
+
+
+def headers_of(rows: DataFrame) -> DataFrame:
+    """Appended records with an array of headers (hk, hv) as rows of the relation of headers, each with its place."""
+    return rows.select(*TOPITION, "offset_id", F.posexplode("headers").alias("place", "h")).select(*TOPITION, "offset_id", "place", "h.hk", "h.hv")
+
+
 def with_headers(log: DataFrame, headers: DataFrame) -> DataFrame:
     """Each record with an array of its headers, in their order."""
     own = headers.groupBy(*TOPITION, "offset_id").agg(F.sort_array(F.collect_list(F.struct("place", "hk", "hv"))).alias("headers"))

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions import json_schema, scalar
-from strandlog.operators import groups, lake, log, maintenance, transactions
+from strandlog.operators import groups, lake, log, maintenance, metrics, transactions
 from strandlog.sources.tables import EVENTS_SQL, events, events_store, relation, relation_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,9 +317,17 @@ def alter_settings(spark, sf):
     return relation(spark, *SETTINGS).select("name", scalar.altered(F.col("value"), F.col("operation"), F.col("change")).alias("value"))
 
 
-@query(""" select k, topic, count(*) as records, cast(sum(strlen(v)) as bigint) as bytes, min(value) as least, max(value) as greatest, cast(sum(cast(value as decimal(18, 6))) as double) / count(*) as mean from log group by all""")
+@query(""", x as (select k, topic, count(*) as records, cast(sum(strlen(v)) as bigint) as bytes, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::double as seconds, min(value)::double as least, cast(sum(cast(value as decimal(18, 6))) as double) / count(value) as mean, max(value)::double as greatest from log group by all)
+select *, records / greatest(seconds, 1.0) as records_per_s, bytes / greatest(seconds, 1.0) as bytes_per_s from x""")
 def load_report(spark, sf):
-    return events(spark, sf).groupBy("k", "topic").agg(F.count("*").alias("records"), F.sum(F.octet_length("v")).alias("bytes"), F.min("value").alias("least"), F.max("value").alias("greatest"), (F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("mean"))
+    return metrics.load(events(spark, sf), ["k", "topic"], F.octet_length("v"), F.col("value"), F.col("ts"))
+
+
+@query(""" select topic, "partition", offset_id, 0 as place, 'type' as hk, topic as hv from log union all select topic, "partition", offset_id, 1, 'user', k from log where offset_id % 3 = 0""")
+def appended_headers(spark, sf):
+    rows = events(spark, sf)
+    first, second = F.struct(F.lit("type").alias("hk"), F.col("topic").alias("hv")), F.struct(F.lit("user").alias("hk"), F.col("k").alias("hv"))
+    return log.headers_of(rows.withColumn("headers", F.when(F.col("offset_id") % 3 == 0, F.array(first, second)).otherwise(F.array(first))))
 
 
 @query(""" select distinct topic || '/' || k as name, topic as base, k as "key" from log union select topic, topic, null from log""")
@@ -332,6 +340,5 @@ def virtual_topics(spark, sf):
 @query(""", x as (select topic, "partition", offset_id, ts, floor(epoch_us(ts) / 600000000) as slot from log), y as (select *, row_number() over (partition by topic, "partition", slot order by offset_id) - 1 as n from x)
 select topic, "partition", cast(slot as bigint) as slot, cast(n // 3 as bigint) as batch, min(offset_id) as base_offset, count(*) as records from y group by all""")
 def produce_batching(spark, sf):
-    rows = events(spark, sf).withColumn("slot", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000))
-    place = F.row_number().over(Window.partitionBy("topic", "partition", "slot").orderBy("offset_id")) - 1
-    return rows.withColumn("batch", F.floor(place / 3)).groupBy("topic", "partition", "slot", "batch").agg(F.min("offset_id").alias("base_offset"), F.count("*").alias("records"))
+    rows = log.timed_batches(events(spark, sf), 600_000, 3)
+    return rows.groupBy("topic", "partition", "slot", "batch").agg(F.min("offset_id").alias("base_offset"), F.count("*").alias("records"))

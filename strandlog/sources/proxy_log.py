@@ -29,13 +29,24 @@ def frames(lines: DataFrame) -> DataFrame:
     return plain.select(F.regexp_extract("line", LINE, 2).alias("id"), F.to_timestamp(F.regexp_extract("line", LINE, 1)).alias("at"), data.alias("bytes"))
 
 
-def calls(found: DataFrame, apis: list[int] | None = None) -> DataFrame:
+def _holds(data: Column, text: str) -> Column:
+    """Whether a frame has a string, with its length before it: in two bytes, or plus one in one byte that is not the second of two."""
+    own = text.encode()
+    said = F.concat(F.lit(","), F.array_join(F.transform(data, lambda x: x.cast("string")), ","), F.lit(","))
+    long = "," + ",".join(map(str, [len(own) >> 8, len(own) & 255, *own])) + ","
+    short = "(?<!,0)," + ",".join(map(str, [len(own) + 1, *own])) + ","
+    return said.contains(long) | said.rlike(short) if len(own) < 127 else said.contains(long)
+
+
+def calls(found: DataFrame, apis: list[int] | None = None, holding: list[str] | None = None) -> DataFrame:
     """One row for each request: id, api_key, api_version, started, ended, elapsed_us; a request without response has nulls.
 
-    One shuffle by id. apis: only requests of these keys.
+    One shuffle by id. apis: only requests of these keys. holding: only those whose request has each of these strings, such as a group's and a member's name.
     """
     turn = F.row_number().over(Window.partitionBy("id").orderBy("at", "bytes"))
     rows = found.withColumn("turn", turn).where("turn <= 2").groupBy("id").agg(*[F.max(F.when(F.col("turn") == n, F.struct("at", "bytes"))).alias(f"own{n}") for n in (1, 2)])
+    for text in holding or []:
+        rows = rows.where(_holds(F.col("own1.bytes"), text))
     out = rows.select("id", _short(F.col("own1.bytes"), 4).alias("api_key"), _short(F.col("own1.bytes"), 6).alias("api_version"), F.col("own1.at").alias("started"), F.col("own2.at").alias("ended"))
     out = out.withColumn("elapsed_us", F.unix_micros("ended") - F.unix_micros("started"))
     return out if apis is None else out.where(F.col("api_key").isin(apis))
@@ -56,5 +67,5 @@ def in_flight(found: DataFrame) -> DataFrame:
     return found.join(counted, "id")
 
 
-def read(spark: SparkSession, path: str, apis: list[int] | None = None) -> DataFrame:
-    return in_flight(calls(frames(spark.read.text(path)), apis))
+def read(spark: SparkSession, path: str, apis: list[int] | None = None, holding: list[str] | None = None) -> DataFrame:
+    return in_flight(calls(frames(spark.read.text(path)), apis, holding))
