@@ -33,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(step)
         live = now
     if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return written(live.select(F.col("a").alias("node"), F.col("b").alias("label")))
     discard(live)
     return labels

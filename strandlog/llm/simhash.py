@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, every, fresh, raw, small, table, written
+from .common import discard, every, fresh, raw, scratch, small, table, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -64,12 +64,20 @@ def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """The kept bits of each table, as signed 64-bit numbers. Positions deal out the non-zero vectors evenly."""
+def _signed(m: int) -> int:
+    return m - (1 << BITS) if m >> (BITS - 1) else m
+
+
+def masks(radius: int, positions: list[int] | None = None) -> list[int]:
+    """The kept bits of each table, as signed 64-bit numbers. Positions (by default all) deal out the non-zero vectors evenly."""
     size = 1 << (radius + 1)
-    own = [i % (size - 1) + 1 for i in range(BITS)]
-    kept = (sum(1 << i for i in range(BITS) if (own[i] & v).bit_count() % 2) for v in range(1, size))
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in kept]
+    own = {i: k % (size - 1) + 1 for k, i in enumerate(range(BITS) if positions is None else positions)}
+    return [_signed(sum(1 << i for i, x in own.items() if (x & v).bit_count() % 2)) for v in range(1, size)]
+
+
+def finer(radius: int) -> list[list[int]]:
+    """For each table the masks that split its buckets: those of a covering of the positions that it doesn't keep."""
+    return [masks(radius, [i for i in range(BITS) if not m >> i & 1]) for m in masks(radius)]
 
 
 def near_edges(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +97,14 @@ def near_edges(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+#: What names a unit of pairs: table and key, finer table and key, two blocks.
+UNIT = ["t", "key", "t2", "key2", "lo", "hi"]
+
+
 def _bucket_edges(radius: int):
     def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Rows sorted by bucket."""
-        key = pdf[["t", "key", "lo", "hi"]].to_numpy()
+        key = pdf[UNIT].to_numpy()
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         fp, sizes = pdf["fp"].to_numpy().view(np.uint64), np.diff(np.r_[new, len(pdf)])
         two = new[sizes == 2]
@@ -107,7 +119,7 @@ def _bucket_edges(radius: int):
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = (pdf[["t", "key", "lo", "hi"]] == pdf[["t", "key", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
+            last = (pdf[UNIT] == pdf[UNIT].iloc[-1]).all(axis=1).to_numpy()
             held = pdf[last]
             if not last.all():
                 yield from pairs(pdf[~last])
@@ -117,26 +129,36 @@ def _bucket_edges(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, block: int = 512, hot: int = 16_384) -> DataFrame:
     """distinct (fp long) -> edges (a, b) with the components of "at most radius bits differ".
 
-    Buckets of one fingerprint cost a count only. A bucket above `block` is split into blocks by hash, and each pair of blocks is a
-    unit of its own: no task gets a whole large bucket, and no pair is lost.
+    Buckets of one fingerprint cost a count only. A bucket above `hot` is split by a second covering, of the bits that its table doesn't keep: each
+    of its pairs within the radius meets in one of that covering's tables, which costs as many rows a fingerprint as there are tables, however large
+    the bucket. What remains above `block` is split into blocks by hash, and each pair of blocks is a unit of its own: no task gets a whole large
+    bucket, and no pair is lost. With 64 bits a bucket split twice has about 2**16 fingerprints at most, so the number of blocks is bounded.
     """
-    every = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
-    full = every.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = every.join(full, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    every_ = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
+    full = written(every_.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))  # few, so mostly broadcast by its size
+    rows = every_.join(full, ["t", "key"])
+    fine = F.element_at(F.array(*[F.lit(m) for m in finer(radius)]), F.col("t") + 1)
+    split = F.transform(fine, lambda m: F.col("fp").bitwiseAND(m))
+    cold = rows.where(F.col("n") <= hot).select("t", "key", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2"), "fp", "n")
+    warm = rows.where(F.col("n") > hot).select("t", "key", F.posexplode(split).alias("t2", "key2"), "fp")
+    counts = warm.groupBy("t", "key", "t2", "key2").agg(F.count("*").alias("n")).where("n > 1")
+    both = cold if full.where(F.col("n") > hot).isEmpty() else cold.unionByName(warm.join(counts, ["t", "key", "t2", "key2"]))
+    rows = both.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    units = rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "fp")
+    rows = rows.select("t", "key", "t2", "key2", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    units = rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "fp")
     return units.mapInPandas(_bucket_edges(radius), "a long, b long").distinct()
 
 
 def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
     """prints (doc_id, fp), a written table -> (doc_id, fp, component_id): the least doc_id reachable over links."""
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(firsts.select("fp"), radius))
+    with scratch() as keep:
+        labels = keep(components(links(firsts.select("fp"), radius)))
     named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = written(named.join(least, "label").select("fp", "component_id"))

@@ -100,6 +100,8 @@ def test_every_pair_within_the_radius_meets():
     for _ in range(3000):
         gap = sum(1 << b for b in draw.sample(range(64), draw.randint(0, 4)))
         assert any(gap & m == 0 for m in kept)
+        for m, more in zip(kept, simhash.finer(4), strict=True):
+            assert all(m & x == 0 for x in more) and (gap & m or any(gap & x == 0 for x in more))
 
 
 def test_links_in_blocks(spark):
@@ -107,8 +109,8 @@ def test_links_in_blocks(spark):
     base = draw.getrandbits(63)
     values = {base} | {base ^ (1 << draw.randrange(60)) ^ (1 << draw.randrange(60)) for _ in range(300)} | {draw.getrandbits(63) for _ in range(100)}
     df = spark.createDataFrame([(v,) for v in values], "fp long")
-    for block in (16, 4096):
-        got = {r.node: r.label for r in simhash.components(simhash.links(df, 4, block)).collect()}
+    for block, hot in ((16, 10**9), (4096, 10**9), (16, 20), (4096, 2)):
+        got = {r.node: r.label for r in simhash.components(simhash.links(df, 4, block, hot)).collect()}
         near = simhash.near_edges(np.array(sorted(values), np.uint64), 4)
         assert len(near[0]) == sum(1 for _ in got) - len(set(got.values()))
         assert all(got[int(a)] == got[int(b)] for a, b in zip(*near, strict=True))
