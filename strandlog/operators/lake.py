@@ -86,9 +86,10 @@ def ranked(df: DataFrame, columns: list[str], bits: int = 16) -> DataFrame:
     """df with _z0, _z1, ...: for each column the place of its value's quantile among 2**bits, so that columns of any ordered type have a z value."""
     out = df
     for i, c in enumerate(columns):
-        number = F.col(c).cast("double") if dict(df.dtypes)[c] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-        if dict(df.dtypes)[c] == "string":
-            number = F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+        kinds = dict(df.dtypes)
+        number = F.col(f"`{c}`").cast("double") if kinds[c] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(f"`{c}`").cast("timestamp")).cast("double")
+        if kinds[c] == "string":
+            number = F.conv(F.rpad(F.substring(F.hex(F.col(f"`{c}`").cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
         low, high = df.agg(F.min(number), F.max(number)).first()
         span = (high - low) or 1.0 if low is not None else 1.0
         out = out.withColumn(f"_z{i}", F.floor((number - F.lit(low or 0.0)) / span * ((1 << bits) - 1)))

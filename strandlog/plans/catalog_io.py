@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import codecs
 from strandlog.functions.scalar import uuid5
-from strandlog.operators import coordinator, groups, lake, log
-from strandlog.sources import generator, proxy_log, records, storage
+from strandlog.operators import coordinator, groups, lake, log, produce
+from strandlog.sources import generator, lake_writer, proxy_log, records, storage
 from strandlog.sources.schemas import Registry
 from strandlog.sources.store import shared_dir
 from strandlog.sources.tables import EVENTS_SQL, events, events_store
@@ -130,6 +130,22 @@ def lake_table(spark, sf):
     return lake.load(spark, root, "db", "events").select("event_id", "topic", "day", F.coalesce("whole", F.round("value").cast("int")).alias("whole"))
 
 
+@query(""" select topic, event_id, "partition", cast(ts as date) as day, case topic when 'click' then k end as user from log where topic in ('click', 'view') and event_id % 8 <> 0""")
+def lake_by_options(spark, sf):
+    """Two topics, one of Avro, flat and on a z curve, one of JSON, with a generated partition, written as their options say; every eighth record is a control record, one topic has no schema."""
+    root = _scratch(spark)
+    own = events(spark, sf).where("topic in ('click', 'view', 'signup')").withColumn("attributes", F.when(F.col("event_id") % 8 == 0, 32).otherwise(0))
+    avro = json.dumps({"type": "record", "name": "R", "fields": [{"name": "value", "type": {"type": "record", "name": "V", "fields": [{"name": "event_id", "type": "long"}, {"name": "user", "type": "string"}]}}]})
+    registry = Registry(spark, {"click.avsc": avro, "view.json": '{"properties": {"value": {"type": "object"}}}'})
+    said = registry["click"].encoded(F.to_json(F.struct("event_id", F.col("k").alias("user"))), "value")
+    own = own.withColumn("v", F.when(F.col("topic") == "click", said).otherwise(F.to_json(F.struct("event_id")).cast("binary")))
+    config = spark.createDataFrame([("click", "lake.normalize", "true"), ("click", "lake.normalize.separator", "_"), ("click", "lake.z_order", "value_event_id, meta_timestamp"), ("view", "lake.generate.day", "cast(meta.timestamp as date)"), ("view", "lake.partition", "day")], "topic string, name string, value string")
+    paths = lake_writer.write(own, produce.options(config, own), produce.generated(config), registry, root)
+    click = spark.read.parquet(paths["click"]).select(F.lit("click").alias("topic"), F.col("value_event_id").alias("event_id"), F.col("meta_partition").alias("partition"), F.col("meta_timestamp").cast("date").alias("day"), F.col("value_user").alias("user"))
+    view = spark.read.parquet(paths["view"]).select(F.lit("view").alias("topic"), "value.event_id", "meta.partition", "day", F.lit(None).cast("string").alias("user"))
+    return click.unionByName(view)
+
+
 @query(""" select count(*) as n, 4 as files, count(distinct event_id) as ids, max(event_id) as greatest from log""")
 def lake_compaction(spark, sf):
     """A table of many files as four files on a z curve of a number, a time and a text, stored as a snapshot."""
