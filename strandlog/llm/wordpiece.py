@@ -7,7 +7,8 @@ over its bytes and no piece is built. A word that the pieces can't cover counts
 
 The vocabulary is a byte-level one whose word starts carry a leading space mark. A word that no longer piece starts begins with the mark
 alone, the empty start, which is one token, and goes on with continuations; with all single bytes every word is covered. It is read from a tokenizer file (a parameter).
-Rows: a null or empty text has 0 tokens. Repeated rows are counted each; extra columns are ignored; whole texts are read.
+Rows: a null or empty text has 0 tokens. Repeated rows are counted each; extra columns are ignored; whole texts are read, whatever
+their length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
