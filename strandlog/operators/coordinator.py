@@ -1,4 +1,4 @@
-"""The life of consumer groups: join, sync, heartbeat and leave requests of each group, answered in their order.
+"""The life of consumer groups: join, sync, heartbeat, leave and commit requests of each group, answered in their order.
 
 A request's answer depends on all earlier ones of its group, so a group is one task's work; what is kept is its members only. The same
 pure step serves a batch (requests stream through sorted partitions) and a stream (one JSON state a group).
@@ -106,6 +106,15 @@ def _leave(s: dict, r: dict) -> str:
     return "NONE"
 
 
+def _commit(s: dict, r: dict) -> str:
+    """Whether offsets may be committed: without a member's name only while the group is empty; while it is formed only in its generation."""
+    if not r["member"] and not s["members"]:
+        return "NONE"
+    if r["member"] not in s["members"]:
+        return "UNKNOWN_MEMBER_ID"
+    return "ILLEGAL_GENERATION" if s["formed"] and r["generation"] != s["generation"] else "NONE"
+
+
 def step(s: dict, r: dict, timeout_ms: int = SESSION_TIMEOUT_MS) -> dict:
     """Answer one request; s changes in place."""
     name, error = r["member"] or "", "INVALID_REQUEST"
@@ -117,6 +126,8 @@ def step(s: dict, r: dict, timeout_ms: int = SESSION_TIMEOUT_MS) -> dict:
         error = _heartbeat(s, r, timeout_ms)
     elif r["kind"] == "leave":
         error = _leave(s, r)
+    elif r["kind"] == "commit":
+        error = _commit(s, r)
     assignment = s["assigned"].get(name) if r["kind"] == "sync" and error == "NONE" else None
     return {"group_id": r["group_id"], "seq": r["seq"], "member": name, "error": error, "generation": s["generation"], "leader": s["leader"], "formed": s["formed"], "members": len(s["members"]), "assignment": assignment}
 

@@ -192,6 +192,11 @@ def virtual(log: DataFrame, topic: str, key: str) -> DataFrame:
     return log.where((F.col("topic") == topic) & (F.col("k") == key)).withColumn("topic", F.concat_ws("/", F.lit(topic), F.lit(key)))
 
 
+def virtual_if_enabled(log: DataFrame, own: DataFrame, topic: str, key: str) -> DataFrame:
+    """As virtual(), empty unless the topic's option `virtual` is true; own as of produce.options()."""
+    return virtual(log.join(own.where((F.col("topic") == topic) & (F.col("virtual") == "true")).select("topic"), "topic", "left_semi"), topic, key)
+
+
 def page(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFrame:
     """A page of topitions in order, after a cursor."""
     if after is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,15 @@ def maintained(log: DataFrame, config: DataFrame, now: Column) -> DataFrame:
     return kept.join(last, [*TOPITION, "k", "offset_id"], "left").where(~compacts | ~keyed | F.col("_last").isNotNull()).select(log.columns)
 
 
+def maintain(log: DataFrame, marks: DataFrame, config: DataFrame, now: Column, lake: Callable[[], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One run of maintenance: deletion, compaction, then the lake's own. Gives the log that stays and the marks, whose low is at the first survivor."""
+    kept = maintained(log, config, now)
+    after = low_after(marks, kept)
+    if lake is not None:
+        lake()
+    return kept, after
+
+
 def compacted_batches(log: DataFrame, marks: DataFrame, batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compaction of stored batches: (records that stay, batches that are left, marks with low at the first survivor). Control batches are not touched."""
     kept = compact(log)

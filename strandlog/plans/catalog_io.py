@@ -200,8 +200,8 @@ where l.topic = 'view' and l.offset_id >= 10 and t.status <> 'ABORTED' and (stab
 
 
 #: In every group one member joins, is told its id, joins with it, syncs as its leader, beats, leaves, and beats once more.
-STEPS = [("join", "", None, None), ("join", "m", None, None), ("sync", "m", 0, ["m=0"]), ("heartbeat", "m", 0, None), ("leave", "m", None, None), ("heartbeat", "m", 1, None)]
-_ANSWERS = [("MEMBER_ID_REQUIRED", 0, False, 1), ("NONE", 0, False, 1), ("NONE", 0, True, 1), ("NONE", 0, True, 1), ("NONE", 1, False, 0), ("UNKNOWN_MEMBER_ID", 1, False, 0)]
+STEPS = [("join", "", None, None), ("join", "m", None, None), ("sync", "m", 0, ["m=0"]), ("heartbeat", "m", 0, None), ("commit", "m", 0, None), ("commit", "m", 7, None), ("leave", "m", None, None), ("heartbeat", "m", 1, None), ("commit", "", -1, None)]
+_ANSWERS = [("MEMBER_ID_REQUIRED", 0, False, 1), ("NONE", 0, False, 1), ("NONE", 0, True, 1), ("NONE", 0, True, 1), ("NONE", 0, True, 1), ("ILLEGAL_GENERATION", 0, True, 1), ("NONE", 1, False, 0), ("UNKNOWN_MEMBER_ID", 1, False, 0), ("NONE", 1, False, 0)]
 
 
 @query(""", s(seq, error, generation, formed, members) as (values """ + ", ".join(f"({i}, '{e}', {g}, {str(f).lower()}, {m})" for i, (e, g, f, m) in enumerate(_ANSWERS)) + """)

@@ -531,3 +531,53 @@ def topic_names_by_id(spark, sf):
 def reaches_the_lake(spark, sf):
     rows = _log(spark, sf)[0].withColumn("attributes", F.when(F.col("offset_id") % 9 == 0, 32).otherwise(0))
     return lake.for_lake(rows, ["click", "view"]).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query(_COORDINATOR + " select producer_id, cast(max(epoch) as integer) as epoch from producers group by all")
+def current_epochs(spark, sf):
+    return transactions.current_epochs(_coordinator(_log(spark, sf)[0])[0])
+
+
+@query(_CATALOG + """ select 'offsets' as relation, group_id as name, topic, "partition" from offsets where group_id = 'g3' and topic = 'view' union all select 'topition', null, topic, "partition" from topition where "partition" = 2""")
+def lookups(spark, sf):
+    """Rows of relations by the values of some columns."""
+    own = _catalog(spark, sf)
+    found = relations.lookup(own, "consumer_offset", group_id="g3", topic="view").select(F.lit("offsets").alias("relation"), F.col("group_id").alias("name"), "topic", "partition")
+    return found.unionByName(relations.lookup(own, "topition", partition=2).select(F.lit("topition").alias("relation"), F.lit(None).cast("string").alias("name"), "topic", "partition"))
+
+
+@query(""" select topic || '/' || k as topic, "partition", offset_id from log where topic = 'view' and k = '7'""")
+def enabled_virtual_topics(spark, sf):
+    """A virtual topic of a topic that allows them, and none of one that doesn't."""
+    rows, marks = _log(spark, sf)
+    own = produce.options(spark.createDataFrame([("view", "virtual", "true")], "topic string, name string, value string"), marks)
+    return log.virtual_if_enabled(rows, own, "view", "7").unionByName(log.virtual_if_enabled(rows, own, "click", "7")).select("topic", "partition", "offset_id")
+
+
+@query(""" select event_id, epoch_us(ts) // 1000 as ms, make_timestamp(epoch_us(ts) // 1000 * 1000) as back from log""")
+def times_in_ms(spark, sf):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _log(spark, sf)[0].select("event_id", ms.alias("ms"), F.timestamp_millis(ms).cast("timestamp_ntz").alias("back"))
+
+
+@query(""", now as (select max(ts) as now from log), marks as (select topic, "partition", max(offset_id) + 1 as high from log group by all),
+d as (select topic, "partition", min(offset_id) as first from log, now where topic in ('view', 'purchase') and epoch_us(now) - epoch_us(ts) <= case topic when 'view' then 86400000000 else 3600000000 end group by all),
+a as (select l.* from log l left join d using (topic, "partition") where topic not in ('view', 'purchase') or offset_id >= first),
+kept as (select * from a qualify topic not in ('click', 'view') or offset_id = max(offset_id) over (partition by topic, "partition", k))
+select m.topic, m."partition", coalesce(min(offset_id), high) as low, high from marks m left join kept k on k.topic = m.topic and k."partition" = m."partition" group by m.topic, m."partition", high""")
+def marks_after_maintenance(spark, sf):
+    rows, marks = _log(spark, sf)
+    config = spark.createDataFrame([("click", "compact", None), ("view", "delete, compact", 86_400_000), ("purchase", "delete", 3_600_000)], "topic string, policy string, retention_ms long")
+    done: list[str] = []
+    after = maintenance.maintain(rows, marks, config, F.lit(rows.agg(F.max("ts")).first()[0]), lambda: done.append("lake"))[1]
+    assert done == ["lake"]
+    return after
+
+
+@query(""", c as (select topic, "partition", k, offset_id, row_number() over (partition by topic, "partition" order by offset_id) - 1 as place from log) select topic, "partition", k, place // 100 as second, count(*) as n from c group by all""")
+def rate_limit(spark, sf):
+    """How many records of each key go out in each second, at a hundred a second and topition."""
+    from strandlog.streaming import ingest
+
+    rows = ingest.limited(_log(spark, sf)[0], 100, ["offset_id"])
+    return rows.groupBy("topic", "partition", "k", "second").agg(F.count("*").alias("n"))

@@ -7,25 +7,29 @@ from strandlog.operators import coordinator, groups
 P = ["range", "roundrobin"]
 #: kind, member, instance, generation, protocols, metadata, assigned, at_ms -> member, error, generation, leader, formed, members, assignment
 SCRIPT = [
+    (("commit", "", None, -1, None, None, None, 0), ("", "NONE", 0, None, False, 0, None)),
     (("join", "", None, None, [], "a", None, 0), ("", "INVALID_REQUEST", 0, None, False, 0, None)),
-    (("join", "", None, None, P, "a", None, 0), ("member-g-1", "MEMBER_ID_REQUIRED", 0, None, False, 1, None)),
-    (("join", "member-g-1", None, None, P, "a", None, 1), ("member-g-1", "NONE", 0, "member-g-1", False, 1, None)),
-    (("join", "", "s", None, ["roundrobin"], "b", None, 2), ("", "INCONSISTENT_GROUP_PROTOCOL", 0, "member-g-1", False, 1, None)),
-    (("join", "", "s", None, ["range"], "b", None, 3), ("s-g-4", "NONE", 0, "member-g-1", False, 2, None)),
-    (("sync", "s-g-4", None, 0, None, None, None, 4), ("s-g-4", "REBALANCE_IN_PROGRESS", 0, "member-g-1", False, 2, None)),
-    (("sync", "member-g-1", None, 0, None, None, ["member-g-1=0"], 5), ("member-g-1", "REBALANCE_IN_PROGRESS", 0, "member-g-1", False, 2, None)),
-    (("sync", "member-g-1", None, 0, None, None, ["member-g-1=0", "s-g-4=1=2"], 6), ("member-g-1", "NONE", 0, "member-g-1", True, 2, "0")),
-    (("sync", "s-g-4", None, 0, None, None, None, 7), ("s-g-4", "NONE", 0, "member-g-1", True, 2, "1=2")),
-    (("heartbeat", "x", None, 0, None, None, None, 8), ("x", "UNKNOWN_MEMBER_ID", 0, "member-g-1", True, 2, None)),
-    (("heartbeat", "s-g-4", None, 1, None, None, None, 9), ("s-g-4", "ILLEGAL_GENERATION", 0, "member-g-1", True, 2, None)),
-    (("join", "", "s", None, P, "b", None, 10), ("s-g-4", "NONE", 0, "member-g-1", True, 2, None)),
-    (("join", "", "s", None, P, "c", None, 11), ("s-g-4", "NONE", 0, "member-g-1", False, 2, None)),
-    (("join", "new", None, None, P, "d", None, 12), ("new", "NONE", 0, "member-g-1", False, 3, None)),
-    (("sync", "member-g-1", None, 0, None, None, ["member-g-1=0", "s-g-4=1", "new=2"], 13), ("member-g-1", "NONE", 0, "member-g-1", True, 3, "0")),
-    (("join", "new", None, None, P, "e", None, 14), ("new", "NONE", 1, "member-g-1", False, 3, None)),
-    (("heartbeat", "new", None, 0, None, None, None, 15), ("new", "REBALANCE_IN_PROGRESS", 1, "member-g-1", False, 3, None)),
-    (("leave", "s-g-4", None, None, None, None, None, 16), ("s-g-4", "NONE", 2, "member-g-1", False, 2, None)),
-    (("leave", "s-g-4", None, None, None, None, None, 17), ("s-g-4", "UNKNOWN_MEMBER_ID", 2, "member-g-1", False, 2, None)),
+    (("join", "", None, None, P, "a", None, 0), ("member-g-2", "MEMBER_ID_REQUIRED", 0, None, False, 1, None)),
+    (("join", "member-g-2", None, None, P, "a", None, 1), ("member-g-2", "NONE", 0, "member-g-2", False, 1, None)),
+    (("join", "", "s", None, ["roundrobin"], "b", None, 2), ("", "INCONSISTENT_GROUP_PROTOCOL", 0, "member-g-2", False, 1, None)),
+    (("join", "", "s", None, ["range"], "b", None, 3), ("s-g-5", "NONE", 0, "member-g-2", False, 2, None)),
+    (("sync", "s-g-5", None, 0, None, None, None, 4), ("s-g-5", "REBALANCE_IN_PROGRESS", 0, "member-g-2", False, 2, None)),
+    (("sync", "member-g-2", None, 0, None, None, ["member-g-2=0"], 5), ("member-g-2", "REBALANCE_IN_PROGRESS", 0, "member-g-2", False, 2, None)),
+    (("sync", "member-g-2", None, 0, None, None, ["member-g-2=0", "s-g-5=1=2"], 6), ("member-g-2", "NONE", 0, "member-g-2", True, 2, "0")),
+    (("sync", "s-g-5", None, 0, None, None, None, 7), ("s-g-5", "NONE", 0, "member-g-2", True, 2, "1=2")),
+    (("heartbeat", "x", None, 0, None, None, None, 8), ("x", "UNKNOWN_MEMBER_ID", 0, "member-g-2", True, 2, None)),
+    (("commit", "s-g-5", None, 0, None, None, None, 9), ("s-g-5", "NONE", 0, "member-g-2", True, 2, None)),
+    (("commit", "s-g-5", None, 4, None, None, None, 9), ("s-g-5", "ILLEGAL_GENERATION", 0, "member-g-2", True, 2, None)),
+    (("commit", "", None, 0, None, None, None, 9), ("", "UNKNOWN_MEMBER_ID", 0, "member-g-2", True, 2, None)),
+    (("heartbeat", "s-g-5", None, 1, None, None, None, 9), ("s-g-5", "ILLEGAL_GENERATION", 0, "member-g-2", True, 2, None)),
+    (("join", "", "s", None, P, "b", None, 10), ("s-g-5", "NONE", 0, "member-g-2", True, 2, None)),
+    (("join", "", "s", None, P, "c", None, 11), ("s-g-5", "NONE", 0, "member-g-2", False, 2, None)),
+    (("join", "new", None, None, P, "d", None, 12), ("new", "NONE", 0, "member-g-2", False, 3, None)),
+    (("sync", "member-g-2", None, 0, None, None, ["member-g-2=0", "s-g-5=1", "new=2"], 13), ("member-g-2", "NONE", 0, "member-g-2", True, 3, "0")),
+    (("join", "new", None, None, P, "e", None, 14), ("new", "NONE", 1, "member-g-2", False, 3, None)),
+    (("heartbeat", "new", None, 0, None, None, None, 15), ("new", "REBALANCE_IN_PROGRESS", 1, "member-g-2", False, 3, None)),
+    (("leave", "s-g-5", None, None, None, None, None, 16), ("s-g-5", "NONE", 2, "member-g-2", False, 2, None)),
+    (("leave", "s-g-5", None, None, None, None, None, 17), ("s-g-5", "UNKNOWN_MEMBER_ID", 2, "member-g-2", False, 2, None)),
     (("heartbeat", "new", None, 2, None, None, None, 60_000), ("new", "REBALANCE_IN_PROGRESS", 2, None, False, 1, None)),
     (("join", "new", None, None, P, "e", None, 60_001), ("new", "NONE", 2, "new", False, 1, None)),
     (("dance", "new", None, None, None, None, None, 60_002), ("new", "INVALID_REQUEST", 2, "new", False, 1, None)),
