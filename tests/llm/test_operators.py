@@ -628,6 +628,14 @@ def test_html_tree_decides(spark):
             assert ("Buy" in texts[0][i]) != article  # varied words in an unvaried place: beside an article it goes
 
 
+def test_html_needs_no_names(spark):
+    """The driver's pages with every class renamed and menus and footers as plain div elements give the same texts: place and tree decide."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r'class="\w+"', 'class="zq"'), r"<(/?)(nav|footer)\b", "<$1div")
+    own, other = ({r.page_id: r.text for r in html_text.extracted(p).collect()} for p in (pages, pages.withColumn("html", bare)))
+    assert own == other and len(own) == pages.count() and all(own.values())
+
+
 @pytest.mark.parametrize("page", [
     '<body style="overflow-x:hidden"><p>{}</p></body>',
     '<body><div title="a hidden valley" data-id="ad"><p><a href="/hidden/path">{}</a></p></div></body>',
