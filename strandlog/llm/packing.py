@@ -19,6 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.added = [x["content"] for x in said.get("added_tokens") or []]
         self.fast = _ranked(said, set(self.added))
         self.run = re.compile(rf"\s{{{LONG_RUN}}}")
 
+    @cached_property
+    def tokenizer(self):
+        """The library's, which most workers never need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def one(self, text: str) -> bytes:
         if not text:
             return b""
