@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded sample of labelled rows on the executors; the driver gets one count per language and hash slot
+Training counts n-grams of a bounded sample of labelled rows on the executors; the driver gets one count per language and hash slot that occur (a sampled row has one language)
 and broadcasts the matrix of log-probabilities, 2**bits rows by the number of languages. Scoring takes many texts at once: their n-grams
 are a sparse matrix of texts by slots, whose product with that matrix is one gather and one segmented sum. The numbers are whole 2**-20ths, so
 sums are exact and a score doesn't depend on what else is in a batch.

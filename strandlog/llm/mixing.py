@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import every, raw, small, table, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
+#: Sources that the driver gets, a name and three numbers each; more are an error, as a column of that many values names no feeds.
+MOST_SOURCES = 500_000
 
 
 def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -67,7 +69,10 @@ def mixed_counts(sizes: DataFrame, seed: int = 17, weights: tuple[int, ...] = WE
     The driver gets one row per source (sources are named feeds, not documents). Ranks come from one range partitioning: the
     place in the sorted partition, less the source's first place there, plus the source's rows in earlier partitions.
     """
-    totals = sorted(sizes.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
+    by_source = written(sizes.groupBy("source").agg(F.sum("size").alias("n")))
+    if by_source.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals = sorted(by_source.collect(), key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     targets = filled([r.n for r in totals], weights, share, most)
     plan = [(r.source, r.n, t, t / r.n if r.n else 0.0, offset(seed, r.source)) for r, t in zip(totals, targets, strict=True)]
     plan = sizes.sparkSession.createDataFrame(plan, "source string, source_size long, target double, rate double, u double")
