@@ -9,6 +9,7 @@ of enum and const that are objects or lists, and the items of a unique list, are
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -154,16 +155,19 @@ class NoCommonType(ValueError):
 
 
 def common_type(rows: DataFrame, value: str) -> str:
-    """The DDL type of all values of a JSON column; NoCommonType if they differ. One small aggregate reaches the driver."""
-    kinds = [r[0] for r in rows.where(F.col(value).isNotNull()).select(F.schema_of_variant(F.parse_json(value)).alias("t")).distinct().limit(100).collect()]
-    kinds = [k for k in kinds if k != "VOID"]
-    if len(kinds) > 1:
-        raise NoCommonType(" / ".join(sorted(kinds)))
-    return kinds[0].replace("OBJECT<", "STRUCT<") if kinds else "STRING"
+    """The DDL type of all values of a JSON column, fields of objects in order of name and together; NoCommonType where types differ. Numbers with a point are doubles, as are whole ones beside them."""
+    kind = rows.where(F.col(value).isNotNull()).agg(F.schema_of_variant_agg(F.parse_json(value))).first()[0]
+    if kind is None or kind == "VOID":
+        return "STRING"
+    if re.search(r"\bVARIANT\b", kind):
+        raise NoCommonType(kind)
+    return re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r"\bVOID\b", "STRING", kind.replace("OBJECT<", "STRUCT<")))
 
 
 def decoded(rows: DataFrame, value: str) -> DataFrame:
-    """rows with the JSON column as typed structs, fields by name."""
-    return rows.withColumn(value, F.from_json(value, common_type(rows, value)))
+    """rows with the JSON column as typed values: structs with fields by name, lists, or plain values."""
+    kind = common_type(rows, value)
+    whole = kind.startswith(("STRUCT<", "ARRAY<"))
+    return rows.withColumn(value, F.from_json(value, kind) if whole else F.try_variant_get(F.parse_json(value), "$", kind))
 
 

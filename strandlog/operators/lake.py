@@ -41,6 +41,13 @@ def meta(partition: Column, ts: Column) -> Column:
     return F.struct(partition.cast("int").alias("partition"), ts.alias("timestamp"), F.year(ts).alias("year"), F.month(ts).alias("month"), F.dayofmonth(ts).alias("day"))
 
 
+def json_meta(partition: Column, ts: Column) -> Column:
+    """meta as JSON has it: whole numbers are long, the time is text with its offset, fields stand in order of name."""
+    at = F.regexp_replace(F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0*$", "")
+    at = F.when(F.unix_micros(ts.cast("timestamp")) % 1_000_000 == 0, F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).otherwise(at)
+    return F.struct(F.dayofmonth(ts).cast("long").alias("day"), F.month(ts).cast("long").alias("month"), partition.cast("long").alias("partition"), F.concat(at, F.lit("+00:00")).alias("timestamp"), F.year(ts).cast("long").alias("year"))
+
+
 def merged(tables: list[DataFrame]) -> DataFrame:
     """Tables of growing schemas as one: columns are added by name, older rows are null there; a changed type is an error."""
     out = tables[0]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions import avro, codecs, json_schema, protobuf
+from strandlog.operators.lake import json_meta
 
 KINDS = {"json": "json", "avsc": "avro", "proto": "protobuf"}
 
@@ -55,7 +56,7 @@ class Schema:
         return codecs.avro_to_json(column, own) if self.kind == "avro" else codecs.protobuf_to_json(column, self.text, own)
 
     def rows(self, log: DataFrame) -> DataFrame:
-        """The readable records of a log as typed rows."""
+        """The readable records of a log as typed rows: key, value and meta of Avro, meta, key and value of Protobuf and JSON, whose objects have their fields in order of name."""
         if self.kind == "avro":
             return codecs.avro_rows(log, self.part("key"), self.part("value"))
         if self.kind == "protobuf":
@@ -64,9 +65,7 @@ class Schema:
         for side, column in (("key", "k"), ("value", "v")):
             if self.part(side) is not None:
                 out = json_schema.decoded(out, column)
-        from strandlog.operators.lake import meta
-
-        return out.select(*[F.col(c).alias(side) for side, c in (("key", "k"), ("value", "v")) if self.part(side) is not None], meta(F.col("partition"), F.col("ts")).alias("meta"))
+        return out.select(json_meta(F.col("partition"), F.col("ts")).alias("meta"), *[F.col(c).alias(side) for side, c in (("key", "k"), ("value", "v")) if self.part(side) is not None])
 
 
 class Registry:

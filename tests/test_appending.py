@@ -236,6 +236,54 @@ def test_avro_numbers_in_a_lake_table(spark, tmp_path):
     assert back.value.asDict() == value and back.date == dt.date(2009, 2, 13) and back.meta.timestamp == dt.datetime(2009, 2, 13, 23, 31, 30)
 
 
+def test_json_records_as_rows(spark, tmp_path):
+    """meta, key and value; whole numbers long, the time as text, fields by name; rows that don't fit are left out."""
+    schema = {"properties": {"key": {"type": "string", "pattern": "^\\d{3}-\\d{2}-\\d{4}$"}, "value": {"type": "object", "properties": {"last": {"type": "string"}, "first": {"type": "string"}, "test1": {"type": "number"}, "grade": {"type": "string"}}}}}
+    own = Registry(spark, {"grade.json": json.dumps(schema)})["grade"]
+    said = [(f'"{100 + i}-{i:02d}-{1000 + i}"', json.dumps({"last": f"L{i}", "first": f"F{i}", "test1": i + 0.5, "grade": "A"})) for i in range(16)]
+    rows = spark.createDataFrame([("grade", 32123, i, k, v) for i, (k, v) in enumerate([*said, ('"x"', said[0][1])])], "topic string, partition int, offset_id long, k string, v string").withColumn("ts", F.timestamp_millis(F.lit(1234567890000)))
+    out = own.rows(rows)
+    assert out.columns == ["meta", "key", "value"] and out.schema["value"].dataType.fieldNames() == ["first", "grade", "last", "test1"]
+    got = out.collect()
+    assert len(got) == 16 and {tuple(r.meta) for r in got} == {(13, 2, 32123, "2009-02-13T23:31:30+00:00", 2009)}
+    assert {r.key for r in got} == {k.strip('"') for k, _ in said} and dict(out.select("meta.*").dtypes) == {"day": "bigint", "month": "bigint", "partition": "bigint", "timestamp": "string", "year": "bigint"}
+
+
+def test_avro_union_with_null(spark):
+    own = Registry(spark, {"u.avsc": json.dumps({"type": "record", "name": "m", "fields": [{"name": "value", "type": ["null", "float"]}]})})["u"]
+    parsed = avro.parse(own.part("value"))
+    data = [avro.write(parsed, x) for x in (1.5, None, -2.25)]
+    rows = spark.createDataFrame([("u", 0, i, None, x) for i, x in enumerate(data)], "topic string, partition int, offset_id long, k binary, v binary").withColumn("ts", F.lit(T0)).coalesce(1)
+    assert [r.value for r in own.rows(rows).collect()] == [1.5, None, -2.25]
+
+
+def test_a_table_whose_schema_grows(spark, tmp_path):
+    steps = ["string email = 1;", "string email = 1; string full_name = 2;", "string email = 1; string full_name = 2; message Home { string no = 1; string city = 2; } Home home = 3; repeated string trade = 4;"]
+    values = [{"email": "a@x"}, {"email": "b@x", "full_name": "B"}, {"email": "c@x", "full_name": "C", "home": {"no": "1", "city": "Y"}, "trade": ["p", "q", "r"]}]
+    for text, value in zip(steps, values, strict=True):
+        text = f'syntax = "proto3"; message Value {{ {text} }}'
+        rows = spark.createDataFrame([("t", 0, 0, None, protobuf.encode(text, "Value", value))], "topic string, partition int, offset_id long, k binary, v binary").withColumn("ts", F.lit(T0))
+        lake.store(Registry(spark, {"t.proto": text})["t"].rows(rows), str(tmp_path), "db", "t", normalize=True, separator="_")
+    back = lake.load(spark, str(tmp_path), "db", "t").orderBy("value_email")
+    assert [(r.value_email, r.value_full_name, r.value_home_city, r.value_trade) for r in back.collect()] == [("a@x", None, None, None), ("b@x", "B", None, None), ("c@x", "C", "Y", ["p", "q", "r"])]
+
+
+def test_fetch_from_the_middle_of_a_batch(spark):
+    rows = by_hand(spark, [(None, 0)] * 4)
+    marks = spark.createDataFrame([("t", 0, 0, 4)], "topic string, partition int, low long, high long")
+    for start in (1, 3):
+        assert sorted(r.offset_id for r in log.fetch(rows, start, 1000, marks=marks).collect()) == list(range(start, 4))
+
+
+def test_default_retention_is_a_week(spark):
+    rows, marks = by_hand(spark, [(None, 0)] * 3), spark.createDataFrame([("t", 0, 0, 3)], "topic string, partition int, low long, high long")
+    config = spark.createDataFrame([("t", "delete", None)], "topic string, policy string, retention_ms long")
+    assert maintenance.maintain(rows, marks, config, F.lit(T0 + dt.timedelta(days=6)))[0].count() == 3
+    kept, after = maintenance.maintain(rows, marks, config, F.lit(T0 + dt.timedelta(days=7, hours=1)))
+    assert kept.count() == 0 and [(r.low, r.high) for r in after.collect()] == [(3, 3)]
+    assert log.offsets_at(kept, marks, F.lit(T0)).first()[2:] == (0, None)
+
+
 def test_registry(spark, tmp_path):
     (tmp_path / "person.json").write_text('{"properties": {"key": {"type": "string", "pattern": "^[0-9]+$"}, "value": {"type": "object", "properties": {"age": {"type": "integer", "minimum": 0}}}}}')
     (tmp_path / "other.txt").write_text("x")
