@@ -113,20 +113,23 @@ def compacted(spark: SparkSession, at: str, files: int, z_order: list[str] | Non
     return own.withColumn("_z", z_value(names)).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z", *names)
 
 
-def store(df: DataFrame, root: str, database: str, topic: str, normalize: bool = False, separator: str = ".", partition: str = "", generated: dict[str, str] | None = None, mode: str = "append", compression: str = "snappy", z_order: str = "") -> str:
-    """Write to the table at root/database.topic, which is created where it is absent; gives its path.
-
-    mode: append, or ignore (only create). z_order: columns of whose z curve each file gets a run.
-    """
+def prepared(df: DataFrame, normalize: bool = False, separator: str = ".", partition: str = "", generated: dict[str, str] | None = None, z_order: str = "") -> tuple[DataFrame, list[str]]:
+    """(rows as a table has them, columns that part it), by a topic's options. z_order: columns of whose z curve each file gets a run."""
     out = generate(df, generated or {})
     if normalize:
         out = flatten(out, separator)
     names = partition_columns(out, partition)
-    at = f"{root}/{database}.{topic}"
     order = [x.strip() for x in z_order.split(",") if x.strip()]
     if order:
-        quoted = [f"_z{i}" for i in range(len(order))]
-        out = ranked(out, order).withColumn("_z", z_value(quoted)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z", *quoted)
+        own = [f"_z{i}" for i in range(len(order))]
+        out = ranked(out, order).withColumn("_z", z_value(own)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z", *own)
+    return out, names
+
+
+def store(df: DataFrame, root: str, database: str, topic: str, mode: str = "append", compression: str = "snappy", **options) -> str:
+    """Write to the table at root/database.topic, which is created where it is absent; gives its path. options: as of prepared(); mode: append, or ignore (only create)."""
+    out, names = prepared(df, **options)
+    at = f"{root}/{database}.{topic}"
     out.write.mode(mode).option("compression", COMPRESSION[compression]).partitionBy(*names).parquet(at)
     return at
 

@@ -104,11 +104,12 @@ def watermarks(log: DataFrame) -> DataFrame:
     return log.groupBy(*TOPITION).agg(F.min("offset_id").alias("low"), (F.max("offset_id") + 1).alias("high"))
 
 
-def list_offsets(log: DataFrame, marks: DataFrame, at: Column | int, stable: DataFrame | None = None) -> DataFrame:
+def list_offsets(log: DataFrame, marks: DataFrame, at: Column | int, stable: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """The offset of each topition of marks (topic, partition, low, high) at a time or an end of the log, with the time of its record.
 
     The latest offset is the stored high watermark, whatever has been deleted since; for reads of committed data it is the last stable
     offset of `stable` (topic, partition, stable). Its time is that of the record before it (of the record there, where a transaction is open).
+    compat: offset 0 where that record is deleted.
     """
     if not isinstance(at, int) or at not in (EARLIEST, LATEST):
         return offsets_at(log, marks, at)
@@ -119,7 +120,8 @@ def list_offsets(log: DataFrame, marks: DataFrame, at: Column | int, stable: Dat
             open_ = stable.select(*TOPITION, "stable")
             edge = marks.join(open_, TOPITION, "left").select(*TOPITION, F.coalesce("stable", "high").alias("offset_id"), F.when(F.col("stable") < F.col("high"), F.col("stable")).otherwise(F.col("high") - 1).alias("_at"))
     times = log.select(*TOPITION, F.col("offset_id").alias("_at"), "ts")
-    return edge.join(times, [*TOPITION, "_at"], "left").select(*TOPITION, "offset_id", "ts")
+    out = edge.join(times, [*TOPITION, "_at"], "left").select(*TOPITION, "offset_id", "ts")
+    return out.withColumn("offset_id", F.when(F.col("ts").isNull(), 0).otherwise(F.col("offset_id"))) if compat else out
 
 
 def append_time(rows: DataFrame, now: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from strandlog.operators import coordinator, groups, lake, log, produce
 from strandlog.sources import generator, lake_writer, proxy_log, records, storage
 from strandlog.sources.schemas import Registry
 from strandlog.sources.store import shared_dir
+from strandlog.sources.table import LakeTable
 from strandlog.sources.tables import EVENTS_SQL, events, events_store
 
 from .catalog_state import LOG_SQL, RUNS_SQL, _log, _txns
@@ -146,6 +147,33 @@ def lake_by_options(spark, sf):
     return click.unionByName(view)
 
 
+@query(""" select topic, event_id, cast(ts as date) as day, case when event_id % 3 = 2 then value end as value from log where topic <> 'error'""")
+def lake_versions(spark, sf):
+    """Events written in three steps, each twice under one name, the last with a column more and a topic of its own that the read passes; then compacted."""
+    own, rows = LakeTable(spark, _scratch(spark)), events(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    for step in (0, 1, 2, 1):
+        some = rows.where(F.col("event_id") % 3 == step).select("topic", "event_id", "day", *(["value"] if step == 2 else []))
+        own.append(some, ["topic"], key=f"step-{step}")
+    own.compact(3, ["event_id"], ["topic"])
+    out = None
+    for topic in ("click", "purchase", "signup", "view"):
+        part = own.read(where={"topic": topic})
+        out = part if out is None else out.unionByName(part)
+    return out.select("topic", "event_id", "day", "value")
+
+
+@query(""" select cast(-1 as bigint) as shift, count(*) as n from log where event_id % 8 <> 0 and topic = 'click'""")
+def lake_writes_once(spark, sf):
+    """A topic's records written twice under one name are in its table once."""
+    root = _scratch(spark)
+    own = events(spark, sf).withColumns({"attributes": F.when(F.col("event_id") % 8 == 0, 32).otherwise(0), "v": F.to_json(F.struct("event_id"))})
+    registry = Registry(spark, {"click.json": '{"properties": {"value": {"type": "object"}}}'})
+    config = spark.createDataFrame([("click", "lake.generate.shift", "cast(-1 as bigint)")], "topic string, name string, value string")
+    for _ in range(2):
+        paths = lake_writer.write(own, produce.options(config, own), produce.generated(config), registry, root, key="batch-1")
+    return LakeTable(spark, paths["click"]).read().groupBy("shift").agg(F.count("*").alias("n"))
+
+
 @query(""" select count(*) as n, 4 as files, count(distinct event_id) as ids, max(event_id) as greatest from log""")
 def lake_compaction(spark, sf):
     """A table of many files as four files on a z curve of a number, a time and a text, stored as a snapshot."""

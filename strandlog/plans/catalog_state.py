@@ -90,6 +90,13 @@ def latest_of_an_empty_log(spark, sf):
     return log.list_offsets(kept, left, log.LATEST).join(left.select("topic", "partition", "low"), ["topic", "partition"])
 
 
+@query(""" select distinct topic, "partition", cast(0 as bigint) as offset_id, cast(null as timestamp) as ts from log""")
+def latest_of_an_empty_log_compat(spark, sf):
+    """As engines that look the last record up report it."""
+    rows, marks = _log(spark, sf)
+    return log.list_offsets(rows.where("false"), marks, log.LATEST, compat=True)
+
+
 @query(""", head as (select distinct topic, "partition", k from log where topic = 'click' and offset_id % 3 = 0), d as (select * from log anti join head using (topic, "partition", k))
 select topic, "partition", offset_id, k from d qualify offset_id = max(offset_id) over (partition by topic, "partition", k)""")
 def compaction_below_head(spark, sf):

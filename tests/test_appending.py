@@ -16,6 +16,7 @@ from strandlog.functions import avro, codecs, protobuf, scalar
 from strandlog.operators import groups, lake, log, maintenance, produce, relations, transactions
 from strandlog.sources import generator, storage, store
 from strandlog.sources.schemas import Registry
+from strandlog.sources.table import Conflict, LakeTable
 from strandlog.streaming import ingest
 
 T0 = dt.datetime(2024, 1, 1)
@@ -370,3 +371,43 @@ def test_bytes_stay_bytes(spark):
     own = Registry(spark, {"x.json": "{}"})["x"]
     got = spark.createDataFrame([("é",)], "v string").select(F.base64(own.encoded(F.col("v"), "value"))).first()[0]
     assert base64.b64decode(got) == "é".encode()
+
+
+def test_versions_of_a_lake_table(spark, tmp_path):
+    own = LakeTable(spark, str(tmp_path / "t"))
+    assert own.version().number == -1 and own.read().count() == 0
+    first = spark.createDataFrame([(1, "a/b"), (2, None), (3, "c")], "id long, part string")
+    assert own.append(first, ["part"], key="t/0/0") == 0 and own.append(first, ["part"], key="t/0/0") == 0
+    assert own.append(spark.createDataFrame([(4, "c", 1.5)], "id long, part string, more double"), ["part"]) == 1
+    assert sorted((r.id, r.part, r.more) for r in own.read().collect()) == [(1, "a/b", None), (2, None, None), (3, "c", None), (4, "c", 1.5)]
+    assert own.read(0).columns == ["id", "part"] and own.read(0).count() == 3
+    some = own.read(where={"part": "c"})
+    assert sorted(r.id for r in some.collect()) == [3, 4] and len(some.inputFiles()) == 2
+    assert [r.id for r in own.read(where={"part": None}).collect()] == [2] and [r.id for r in own.read(where={"id": "1"}).collect()] == [1]
+    with pytest.raises(ValueError, match="column id is bigint, not string"):
+        own.append(spark.createDataFrame([("x",)], "id string"))
+    with pytest.raises(ValueError, match="no column x"):
+        own.append(first, ["x"])
+    with pytest.raises(ValueError, match="no version 9"):
+        own.read(9)
+    assert own.compact(1, ["id", "part"]) == 2
+    assert sorted(r.id for r in own.read().collect()) == [1, 2, 3, 4] and len(own.read().inputFiles()) == 1 and own.read(1).count() == 4
+    assert own.vacuum() == 2 and own.read().count() == 4 and own.append(first, ["part"], key="t/0/0") == 2
+
+
+def test_two_writers_of_a_lake_table(spark, tmp_path):
+    """A commit that another writer has made first is tried again as the next one; files that another has replaced are a conflict."""
+    rows = spark.range(5)
+    one, two = LakeTable(spark, str(tmp_path / "t")), LakeTable(spark, str(tmp_path / "t"))
+    one.append(rows)
+    create = two._create
+    two._create = lambda n, own: (one.append(rows.selectExpr("id + 10 as id")), setattr(two, "_create", create), create(n, own))[2]
+    assert two.append(rows.selectExpr("id + 20 as id")) == 2 and two.read().count() == 15
+    two._create = lambda n, own: (one.append(rows.selectExpr("id + 30 as id")), setattr(two, "_create", create), create(n, own))[2]
+    assert two.compact(1) == 4 and two.read().count() == 20
+    two._create = lambda n, own: (one.compact(1), setattr(two, "_create", create), create(n, own))[2]
+    with pytest.raises(Conflict):
+        two.compact(2)
+    assert one.read().count() == 20
+    two._create = lambda n, own: (one.append(rows, key="k"), setattr(two, "_create", create), create(n, own))[2]
+    assert two.append(rows, key="k") == one.version().number and one.read().count() == 25
