@@ -64,6 +64,11 @@ def end(txns: DataFrame, name: str, commit: bool) -> DataFrame:
     return rows.withColumn("status", status).select(txns.columns)
 
 
+def verdict(expected: int, base: int) -> str:
+    """Of a batch that begins at base where the last accepted one ended at expected."""
+    return "NONE" if base == expected else "DUPLICATE_SEQUENCE_NUMBER" if expected > base else "OUT_OF_ORDER_SEQUENCE_NUMBER"
+
+
 def sequence_check(batches: DataFrame, producers: DataFrame) -> DataFrame:
     """batches (producer_id, epoch, topic, partition, arrival, base_sequence, records) -> verdict of each.
 
@@ -92,11 +97,9 @@ def sequence_check(batches: DataFrame, producers: DataFrame) -> DataFrame:
                     said.append("UNKNOWN_PRODUCER_ID")
                 elif current != own:
                     said.append("PRODUCER_FENCED" if current > own else "INVALID_PRODUCER_EPOCH")
-                elif base == expected:
-                    said.append("NONE")
-                    expected += records
                 else:
-                    said.append("DUPLICATE_SEQUENCE_NUMBER" if expected > base else "OUT_OF_ORDER_SEQUENCE_NUMBER")
+                    said.append(verdict(expected, base))
+                    expected += records if said[-1] == "NONE" else 0
             yield pdf.drop(columns="_current").assign(verdict=said)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in todo.dtypes if c != "_current")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandlog.operators.log import TOPITION, byte_size
+from strandlog.operators.transactions import verdict
 
 
 def assigned(stream: DataFrame, order: str = "arrival") -> DataFrame:
@@ -31,6 +32,33 @@ def assigned(stream: DataFrame, order: str = "arrival") -> DataFrame:
     return stream.groupBy("topic", "partition").applyInPandasWithState(run, kinds, "high long", "append", GroupStateTimeout.NoTimeout)
 
 
+def sequenced(stream: DataFrame, producers: DataFrame) -> DataFrame:
+    """sequence_check() over a stream: batches with their verdict; where each producer's next batch must begin is state. producers is a table, read anew by each micro-batch.
+
+    A producer's batches of one micro-batch for a topition are sorted in one task; the source's limits bound them.
+    """
+    key = ["producer_id", "epoch", *TOPITION]
+    current = producers.groupBy("producer_id").agg(F.max("epoch").alias("_current"))
+    kinds = T.StructType([*stream.schema.fields, T.StructField("verdict", T.StringType())])
+    names = stream.columns
+
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        expected = state.get[0] if state.exists else 0
+        rows, said = pd.concat(list(parts), ignore_index=True).sort_values("arrival", kind="stable"), []
+        for epoch, now, base, records in zip(rows["epoch"], rows["_current"], rows["base_sequence"].tolist(), rows["records"].tolist(), strict=True):
+            if pd.isna(now):
+                said.append("UNKNOWN_PRODUCER_ID")
+            elif now != epoch:
+                said.append("PRODUCER_FENCED" if now > epoch else "INVALID_PRODUCER_EPOCH")
+            else:
+                said.append(verdict(expected, base))
+                expected += records if said[-1] == "NONE" else 0
+        state.update((expected,))
+        yield rows[names].assign(verdict=said)
+
+    return stream.join(current, "producer_id", "left").groupBy(*key).applyInPandasWithState(run, kinds, "expected long", "append", GroupStateTimeout.NoTimeout)
+
+
 def expired(beats: DataFrame, timeout_ms: int = 45_000) -> DataFrame:
     """beats (group_id, member, ts): members that stay silent longer than the timeout of event time."""
 

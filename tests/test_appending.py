@@ -345,6 +345,27 @@ def test_offsets_in_order_of_arrival_whatever_the_arrow_batch(spark, tmp_path):
     assert all(r.offset_id == r.arrival for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
+def test_sequences_of_a_stream_as_of_a_table(spark, tmp_path):
+    draw = random.Random(6)
+    kinds = "producer_id long, epoch int, topic string, partition int, arrival long, base_sequence long, records long"
+    rows, at = [], {}
+    for i in range(60):
+        p, t, n = draw.randrange(4), draw.choice("ab"), draw.randint(1, 3)
+        base = at.get((p, t), 0) + draw.choice((0, 0, 0, -1, 2))
+        if base == at.get((p, t), 0):
+            at[p, t] = base + n
+        rows.append((p, 0, t, 0, i, base, n))
+    known = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "producer_id long, epoch int")
+    for k in range(0, 60, 20):
+        spark.createDataFrame(rows[k : k + 20], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ingest.sequenced(stream, known).writeStream.foreachBatch(ingest.to_lake(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {r.arrival: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.arrival: r.verdict for r in transactions.sequence_check(spark.createDataFrame(rows, kinds), known).collect()}
+    assert got == want and len(set(got.values())) == 5
+
+
 def test_schedule_deadline_and_limit(spark):
     now, runs = [0.0], []
 
