@@ -628,6 +628,24 @@ def test_html_tree_decides(spark):
             assert ("Buy" in texts[0][i]) != article  # varied words in an unvaried place: beside an article it goes
 
 
+def test_html_of_repeated_rows_and_clashing_columns(spark):
+    """Each row of a page that comes again has its text; columns of the operator's own names are ignored; pages without url or html keep their rows."""
+    body = "<article><h1>T {0}</h1><p>Words {0}</p></article><div>frame</div>"
+    pages = [(i, f"http://a.example/{i}", body.format(i)) for i in range(6)] * 3 + [(7, None, None), (7, None, None), (None, "http://a.example/x", body.format("x"))]
+    df = spark.createDataFrame([(*p, "a", 5, "b", [1]) for p in pages], "page_id long, url string, html string, host string, row int, low string, nodes array<int>").repartition(4)
+    got = collections.Counter(tuple(r) for r in html_text.extracted(df).collect())
+    want = collections.Counter((i, f"http://a.example/{i}", f"T {i} Words {i}", len(f"T {i} Words {i}")) for i in range(6) for _ in range(3))
+    assert got == want + collections.Counter({(7, None, "", 0): 2, (None, "http://a.example/x", "T x Words x", 11): 1})
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
+
+
 def test_html_needs_no_names(spark):
     """The driver's pages with every class renamed and menus and footers as plain div elements give the same texts: place and tree decide."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
