@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import codecs
 from strandlog.functions.scalar import uuid5
-from strandlog.operators import coordinator, groups, lake, log, produce
+from strandlog.operators import coordinator, groups, lake, log, maintenance, produce
 from strandlog.sources import generator, lake_writer, proxy_log, records, storage
 from strandlog.sources.schemas import Registry
 from strandlog.sources.store import shared_dir
 from strandlog.sources.table import LakeTable
-from strandlog.sources.tables import EVENTS_SQL, events, events_store
+from strandlog.sources.tables import CONVERSATIONS_SQL, EVENTS_SQL, conversations_store, events, events_store
 
 from .catalog_state import LOG_SQL, RUNS_SQL, _log, _txns
 
@@ -288,3 +288,24 @@ def generated_by_schema(spark, sf):
     rows = generator.from_json_schema(spark, 4000, schema)
     return rows.select(F.to_json(F.struct("*")).alias("v")).select(valid(F.col("v"), schema).alias("ok")).agg(F.count("*").alias("n"), F.every("ok").alias("valid"))
 
+
+@query()
+def conversation_turns(spark, sf):
+    """The last turn of each conversation and role in the log of conversations, with the bytes of all."""
+    own = conversations_store(spark, sf)
+    size = own.log.groupBy("topic", "partition", "k").agg(F.sum(log.byte_size("v")).alias("bytes"))
+    last = maintenance.compact(own.log).select("topic", "partition", "k", "offset_id", "turn")
+    return last.join(size, ["topic", "partition", "k"])
+
+
+ORACLE_SQL["conversation_turns"] = f"""with log as ({CONVERSATIONS_SQL}) select topic, "partition", k, max(offset_id) as offset_id, arg_max(turn, offset_id) as turn, cast(sum(coalesce(strlen(v), 0)) as bigint) as bytes from log group by topic, "partition", k"""
+
+
+@query()
+def conversation_fetch(spark, sf):
+    """What a fetch of 2,000 bytes from offset 3 reads of each topition of that log."""
+    own = conversations_store(spark, sf)
+    return log.fetch(own.log, 3, 2000, marks=own.marks).select("topic", "partition", "offset_id")
+
+
+ORACLE_SQL["conversation_fetch"] = f"""with log as ({CONVERSATIONS_SQL}), f as (select *, sum(strlen(k) + coalesce(strlen(v), 0)) over (partition by topic, "partition" order by offset_id) as spent from log where offset_id >= 3) select topic, "partition", offset_id from f where spent < 2000"""

@@ -30,6 +30,22 @@ EVENTS_SQL = """select event_type as topic, cast(user_id % 4 as integer) as "par
   row_number() over (partition by event_type, user_id % 4 order by ts, event_id) - 1 as offset_id from events"""
 
 
+def conversations_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """A topic for each role with eight partitions by conversation, in order of conversation and turn; the key is the conversation."""
+    path = f"{sf_dir}/conversations.parquet"
+
+    def rows() -> DataFrame:
+        own = spark.read.parquet(path)
+        return own.select(F.col("role").alias("topic"), (F.col("conv_id") % 8).cast("int").alias("partition"), "conv_id", "turn", F.col("conv_id").cast("string").alias("k"), F.col("text").alias("v"))
+
+    return kept(spark, path, rows, ["conv_id", "turn"])
+
+
+#: The same in DuckDB.
+CONVERSATIONS_SQL = """select role as topic, cast(conv_id % 8 as integer) as "partition", conv_id, turn, cast(conv_id as varchar) as k, text as v,
+  row_number() over (partition by role, conv_id % 8 order by conv_id, turn) - 1 as offset_id from conversations"""
+
+
 def relation(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """A small literal relation; columns as DDL."""
     return spark.createDataFrame(rows, columns)
