@@ -12,7 +12,7 @@ Pages of a host with the same text count once, so that copies of an article, dec
 
 Rows: null or empty html gives the empty text; broken markup is closed as browsers do, in time linear in the page, whatever its length;
 a quote that never ends ends with its tag; references are decoded; a null url is a host of its own name. Hosts with fewer than `LEAST_PAGES`
-pages of different text have no tree and are judged by their elements. An empty table gives an empty result. Repeated rows give repeated rows;
+pages of different text have no tree and are judged by their elements; a page of which the tree would leave nothing keeps its text. An empty table gives an empty result. Repeated rows give repeated rows;
 extra columns are ignored.
 """
 
