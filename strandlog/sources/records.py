@@ -10,11 +10,22 @@ LAST = ("Ashe", "Brook", "Crane", "Dale", "Elm", "Frost", "Grove", "Hale")
 STREETS, CITIES, COUNTRIES, INDUSTRIES = ("High Street", "Mill Lane", "Park Road"), ("Northport", "Easton", "Southby"), ("Arden", "Borea", "Cindra"), ("mining", "software", "farming", "retail")
 
 
+def _json_text(own: Column) -> Column:
+    """A JSON value as text: a string's own, others as JSON; null for JSON's null."""
+    kind = F.schema_of_variant(own)
+    return F.when(kind == "STRING", F.try_variant_get(own, "$", "string")).when(kind != "VOID", F.to_json(own))
+
+
 def json_records(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
-    """key and value as JSON text from a file of one array, or of a line each; items with neither are left out."""
-    lines = spark.read.option("wholetext", str(array).lower()).text(path)
-    items = lines.select(F.explode(F.from_json("value", "array<string>")).alias("item")) if array else lines.select(F.col("value").alias("item"))
-    rows = items.select(F.get_json_object("item", "$.key").alias("key"), F.get_json_object("item", "$.value").alias("value"))
+    """key and value as JSON text from files of one array each, or of a line each; items with neither are left out.
+
+    An array's items are read one after the other, a file by a task, so no text of a whole file is held; files of lines are split as well.
+    """
+    if array:
+        items = spark.read.schema("key variant, value variant").option("multiLine", "true").json(path)
+        rows = items.select(_json_text(F.col("key")).alias("key"), _json_text(F.col("value")).alias("value"))
+    else:
+        rows = spark.read.text(path).select(F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.value").alias("value"))
     return rows.where("key is not null or value is not null")
 
 

@@ -112,6 +112,8 @@ def test_uuid5_and_sources(spark, tmp_path):
     assert [r[0] for r in got] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
     (tmp_path / "x.json").write_text('[{"key": "1", "value": {"a": 1}}, {"other": 2}, {"value": 3}]')
     assert records.json_records(spark, str(tmp_path / "x.json")).collect() == [("1", '{"a":1}'), (None, "3")]
+    (tmp_path / "y.json").write_text('[{"key": null, "value": null}, {"key": [1, "é"], "value": {"b": {"c": null}, "a": "x y"}},\n {"key": "k\\"q", "value": true}]')
+    assert records.json_records(spark, str(tmp_path / "y.json")).collect() == [('[1,"é"]', '{"a":"x y","b":{"c":null}}'), ('k"q', "true")]
     assert records.customers(spark, 5).collect() == records.customers(spark, 5).collect()
     assert records.trips(spark, 9).where("trip_distance between 0 and 20").count() == 9
 
