@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and Markov models of random strings and ordinary identifiers compared by log-likelihood ratio.
 
 Both models are character chains of second order, trained from labelled samples (string, 1 if random). Ordinary samples are joined words of
-program texts and of the corpus itself: the frequent words of a bounded sample of its documents, as identifiers, paths, slugs and compounds,
-with numbers and dates. A quarter of the samples is held out; on it the bound is chosen, and recall and precision are measured. A candidate
+program texts and of the corpus itself, as identifiers, paths, slugs and compounds, with numbers and dates. The corpus's words are counted over
+all its documents; every word of LEAST_DOCS or more begins strings of its own, which are made, counted and scored on the executors, however many
+words there are, and together weigh as much as CORPUS samples. The driver gets one count per triple of characters and per thousandth of a score.
+A quarter of the samples is held out; on it the bound is chosen, and recall and precision are measured. A candidate
 is what the patterns' spans leave of a run of [A-Za-z0-9+/_=-], if LEAST_RUN or more characters, a letter and VARIED different letters and
 digits are left. It is a secret of kind `random` if the ratio per character reaches the bound; else each part of it is one around whose best
 LEAST_RUN characters that holds, so that words joined to a secret by / = - _ don't hide it. Such a part reaches as far as the ratio's sum
@@ -18,7 +20,8 @@ import hashlib
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, sampled, small, table, texts
+from .common import mapped, scratch, small, table, texts, written
 from .words import WORDS
 
 #: Kind, pattern, group that has a least length, that length. In the order that ties of start follow.
@@ -52,14 +55,19 @@ PARTS = "user name value index count total file path line list item node data ta
 
 #: Alphabets of random strings.
 ALPHABETS = (string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + string.digits, string.ascii_letters, ALPHABET)
-#: Documents whose words stand for ordinary text at most; words at most; documents that a word must be in.
-MOST_DOCS, MOST_WORDS, LEAST_DOCS = 2000, 20_000, 3
+#: Documents that a word must be in; the samples that the strings of all such words weigh as much as; words on average that are joined with each other.
+LEAST_DOCS, CORPUS, GROUP = 3, 16_000, 64
+#: Different words that a task counts before it passes them on.
+HELD = 200_000
+#: Scores of the corpus's strings are counted by steps of one part in so many.
+STEPS = 1000
 PIECE = re.compile(r"[A-Za-z]{2,40}")
 
 
-def _ordinary(draw: random.Random, words: list[str]) -> str:
-    """Some words joined as identifiers, paths, slugs or compounds, some with a number or a date at an end."""
+def _ordinary(draw: random.Random, words: list[str], first: str | None = None) -> str:
+    """Some words (`first` before others, if given) joined as identifiers, paths, slugs or compounds, some with a number or a date at an end."""
     some, style = draw.choices(words, k=draw.randint(1, 6)), draw.randrange(9)
+    some[0] = first or some[0]
     text = ("", "_", "-", "/", "=")[style].join(some) if style < 5 else "_".join(some).upper() if style == 5 else "".join(w.title() for w in some) if style == 6 else some[0] + "".join(w.title() for w in some[1:]) if style == 7 else "-".join(some).title()
     kind = draw.random()
     if kind < 0.25:
@@ -81,27 +89,46 @@ def samples(words: list[str] | None = None, n: int = 4000, seed: int = 5) -> lis
     return out
 
 
-def corpus_words(docs: DataFrame) -> list[str]:
-    """The most frequent words (by documents, then by letters) of a bounded sample of documents; a word of few documents may be a secret itself."""
+def vocabulary(docs: DataFrame, most: int = HELD) -> DataFrame:
+    """word, n: every word of all documents that LEAST_DOCS or more of them hold, and how many do. A word of few documents may be a secret itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        counted = lambda: pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
         for whole in batches:
             for batch in small(whole):
-                yield pa.record_batch([pa.array([w for x in texts(batch.column(0)) for w in set(PIECE.findall(x))], pa.string())], names=["word"])
+                for x in texts(batch.column(0)):
+                    held.update(set(PIECE.findall(x)))
+                    if len(held) >= most:
+                        yield counted()
+                        held.clear()
+        yield counted()
+
+    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+
+
+def corpus_words(docs: DataFrame) -> list[str]:
+    """The whole vocabulary, the words of most documents first, then by letters: for `samples`, where the driver can hold it. `learned` does without."""
+    return [r.word for r in vocabulary(docs).orderBy(F.desc("n"), "word").collect()]
 
-    rows = sampled(docs.where("text is not null"), F.xxhash64(F.col("text").cast("string")), MOST_DOCS).select(F.col("text").cast("string").alias("text"))
-    count = rows.mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    return [r.word for r in count.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()]
+
+def corpus_strings(group: int, words: list[str], times: int, seed: int = 5) -> Iterator[tuple[str, bool]]:
+    """`times` ordinary strings for each word of a group, which it begins and others of the group follow, and whether the string is held out."""
+    draw = random.Random(f"{seed}:{group}")
+    for _ in range(times):
+        for first in words:
+            yield _ordinary(draw, words, first), draw.random() < 0.25
 
 
 class Ratio:
-    """log P(text | random) - log P(text | ordinary), each by a second-order chain with smoothing."""
+    """log P(text | random) - log P(text | ordinary), each by a second-order chain with smoothing. `more` has further counts of the ordinary one's triples."""
+
+    place = np.zeros(128, np.int64)
+    place[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET)) + 1
 
-    def __init__(self, labelled: list[tuple[str, int]], smooth: float = 0.1):
+    def __init__(self, labelled: list[tuple[str, int]], smooth: float = 0.1, more: np.ndarray | None = None):
         size = len(ALPHABET) + 1
-        self.place = np.zeros(128, np.int64)
-        for i, c in enumerate(ALPHABET):
-            self.place[ord(c)] = i + 1
         tables = []
         for label in (1, 0):
             two, one = np.zeros((size, size, size)), np.zeros((size, size))
@@ -110,13 +137,16 @@ class Ratio:
                     codes = self.codes(text)
                     np.add.at(two, (codes[:-2], codes[1:-1], codes[2:]), 1)
                     np.add.at(one, (codes[1:-1], codes[2:]), 1)
+            if more is not None and label == 0:
+                two, one = two + more, one + more.sum(axis=0)
             back = (one + smooth) / (one + smooth).sum(axis=1, keepdims=True)
             tables.append(np.log((two + 5 * back[None]) / (two.sum(axis=2, keepdims=True) + 5)))
         self.table = (tables[0] - tables[1]).astype(np.float64)
 
-    def codes(self, text: str) -> np.ndarray:
+    @classmethod
+    def codes(cls, text: str) -> np.ndarray:
         own = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-        return np.concatenate([[0, 0], self.place[np.minimum(own, 127)]])
+        return np.concatenate([[0, 0], cls.place[np.minimum(own, 127)]])
 
     def each(self, text: str) -> np.ndarray:
         codes = self.codes(text)
@@ -145,17 +175,76 @@ class Detector:
     precision: float
 
 
-def fitted(labelled: list[tuple[str, int]], wrong: float = 0.002) -> Detector:
-    """Trained on three of four samples; the bound is the least (LEAST_BOUND at least) that no more than a share `wrong` of the other ordinary samples reach anywhere."""
-    ratio = Ratio([x for i, x in enumerate(labelled) if i % 4])
+def bound(scores: np.ndarray, weights: np.ndarray, wrong: float) -> float:
+    """The least that no more than a share `wrong` of the weight reaches."""
+    order = np.argsort(scores, kind="stable")
+    beyond = np.append(np.cumsum(weights[order][::-1])[::-1][1:], 0.0)
+    return float(scores[order][np.argmax(beyond <= wrong * weights.sum())]) + 1e-9
+
+
+def fitted(labelled: list[tuple[str, int]], wrong: float = 0.002, more: np.ndarray | None = None, scored: Callable[[Ratio], tuple[np.ndarray, np.ndarray]] | None = None) -> Detector:
+    """Trained on three of four samples; the bound is the least (LEAST_BOUND at least) that no more than a share `wrong` of the other ordinary samples reach anywhere.
+
+    `more` has counts of triples in further ordinary strings; `scored` gives the scores that others have by a ratio, and their weights.
+    """
+    ratio = Ratio([x for i, x in enumerate(labelled) if i % 4], more=more)
     score = {label: np.array([ratio.best(t) for i, (t, own) in enumerate(labelled) if i % 4 == 0 and own == label and len(t) >= LEAST_RUN]) for label in (0, 1)}
-    least = max(LEAST_BOUND, float(np.quantile(score[0], 1 - wrong, method="higher")) + 1e-9 if len(score[0]) else LEAST_BOUND)
-    hit, false = int((score[1] >= least).sum()), int((score[0] >= least).sum())
+    weight = np.ones(len(score[0]))
+    if scored is not None:
+        score[0], weight = (np.concatenate(x) for x in zip((score[0], weight), scored(ratio), strict=True))
+    least = max(LEAST_BOUND, bound(score[0], weight, wrong) if len(weight) else LEAST_BOUND)
+    hit, false = int((score[1] >= least).sum()), float(weight[score[0] >= least].sum())
     return Detector(ratio, least, hit / max(len(score[1]), 1), hit / max(hit + false, 1))
 
 
 def learned(docs: DataFrame) -> Detector:
-    return fitted(samples(corpus_words(docs)))
+    """Trained on `samples` and on strings of every word of the vocabulary."""
+    size = len(ALPHABET) + 1
+    with scratch():
+        words = written(vocabulary(docs))
+        n = words.count()
+        if not n:
+            return fitted(samples())
+        times = -(-CORPUS // n)
+        weight = CORPUS / (times * n)
+        groups = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, n // GROUP))).alias("k")).agg(F.sort_array(F.collect_list("word")).alias("words"))
+
+        def strings(batch: pa.RecordBatch, held: bool) -> Iterator[str]:
+            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from (t for t, out in corpus_strings(k, own, times) if out == held)
+
+        def summed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
+
+        def totals(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[np.ndarray, np.ndarray]:
+            got = groups.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+            return got.column(0).to_numpy(), got.column(1).to_numpy()
+
+        def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(size**3, np.int64)
+            for whole in batches:
+                for batch in small(whole, 64):
+                    codes = [Ratio.codes(t) for t in strings(batch, False)]
+                    keys = [(c[:-2] * size + c[1:-1]) * size + c[2:] for c in codes]
+                    counts += np.bincount(np.concatenate([*keys, np.zeros(0, np.int64)]), minlength=size**3)
+            yield summed(np.flatnonzero(counts), counts[counts > 0])
+
+        def scored(ratio: Ratio) -> tuple[np.ndarray, np.ndarray]:
+            shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+            def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                counts: Counter[int] = Counter()
+                for whole in batches:
+                    for batch in small(whole, 64):
+                        counts.update(int(np.floor(shared.value.best(t) * STEPS)) for t in strings(batch, True) if len(t) >= LEAST_RUN)
+                yield summed(np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64))
+
+            keys, counts = totals(steps)
+            return (keys + 1) / STEPS, counts * weight
+
+        keys, counts = totals(triples)
+        more = np.bincount(keys, counts * weight, size**3).reshape(size, size, size)
+        return fitted(samples(), more=more, scored=scored)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -744,3 +744,40 @@ def test_dedup_of_rows_that_share_an_id(spark):
     assert runs[0] == runs[1] == runs[2]
     assert [r for r in runs[0] if r[0] != 9] == sorted([(1, a, "x"), (5, b, "z"), (7, c, "x"), (7, d, "x"), (None, a, "x"), (None, a, "x")], key=str)
     assert len([r for r in runs[0] if r[0] == 9]) == 1
+
+
+def test_secrets_learned_from_every_document(spark):
+    """All words of all documents count, also beyond what one task holds; the model is that of every word's strings, however rows are dealt."""
+    letter = "etaoinshrdlucmfwypvbgk"
+    words = [letter[k % 22] + letter[k // 22 % 22] + letter[k // 484 % 22] * 2 + letter[k // 10648] for k in range(25000)]
+    rows = [[] for _ in range(4500)]
+    for j, w in enumerate(words):
+        for k in range(3):
+            rows[(7 * j + 1500 * k) % 4500].append(w)
+    texts = [" ".join([*row, *(["twice"] if i < 2 else [])]) for i, row in enumerate(rows)]
+    docs = spark.createDataFrame([*enumerate(texts), (5000, None), (5001, "")], "doc_id long, text string").repartition(3)
+    assert secrets.corpus_words(docs) == sorted(words)
+    assert {tuple(r) for r in secrets.vocabulary(docs, 50).collect()} == {(w, 3) for w in words}
+
+    groups = collections.defaultdict(list)
+    for w in sorted(words):
+        h = xxhash.xxh64_intdigest(w, 42)
+        groups[(h - (h >> 63 << 64)) % (len(words) // secrets.GROUP)].append(w)
+    strings = [x for k, own in groups.items() for x in secrets.corpus_strings(k, own, 1)]
+    assert len(strings) == 25000 and 0.23 < np.mean([out for _, out in strings]) < 0.27
+    seen, weight = collections.Counter(), secrets.CORPUS / 25000
+    for t, out in strings:
+        seen.update(zip(codes := [0, 0, *(secrets.ALPHABET.index(c) + 1 for c in t)], codes[1:], codes[2:], strict=False) if not out else ())
+    more = np.zeros([len(secrets.ALPHABET) + 1] * 3)
+    for key, n in seen.items():
+        more[key] = n * weight
+    labelled = secrets.samples()
+    model, plain = secrets.learned(docs), secrets.Ratio([x for i, x in enumerate(labelled) if i % 4], more=more)
+    assert np.allclose(model.ratio.table, plain.table, atol=1e-9)
+    scores = [(plain.best(t), weight) for t, out in strings if out and len(t) >= 20] + [(plain.best(t), 1) for i, (t, own) in enumerate(labelled) if i % 4 == 0 and not own and len(t) >= 20]
+    least = next(s for s, _ in sorted(scores) if sum(w for x, w in scores if x > s) <= 0.002 * sum(w for _, w in scores))
+    assert abs(model.least - max(0.3, least)) <= 1.1 / secrets.STEPS and model.recall > 0.98
+    again = secrets.learned(docs.repartition(7))
+    assert np.array_equal(again.ratio.table, model.ratio.table) and again.least == model.least
+    assert secrets.bound(np.array([3.0, 1.0, 2.0, 9.0]), np.array([1.0, 1.0, 1.0, 0.5]), 0.2) == pytest.approx(3.0)
+    assert secrets.bound(np.arange(9.0), np.full(9, 0.1), 0.0) == pytest.approx(8.0)
