@@ -217,3 +217,17 @@ def test_mixture_tells_rows_apart(spark):
     again = Counter(map(tuple, mixing.mixture(docs.repartition(5)).collect()))
     assert out == again and {(r[2], r[3]) for r in out} == {(None, "x"), ("s", "x"), ("s", "y")}
     assert sum(2 * n for r, n in out.items() if r[1]) == pytest.approx(1.5 * 32, abs=4)
+
+
+def test_secret_scan_learns_from_every_document(spark):
+    """Words of three documents among 6,000 are ordinary to the stage: what joins them stays, a random string goes."""
+    draw = random.Random(8)
+    parts = "qx zj kv wq xz jk vq zw gx hq pz kx".split()
+    odd = sorted({"".join(draw.choices(parts, k=draw.randint(2, 4))) for _ in range(500)})
+    joined = ["".join(draw.choices(odd, k=4))[:40] for _ in range(50)]
+    texts = [" ".join(draw.choices(EN + DE, k=12)) for _ in range(6000)] + [" ".join(draw.sample(odd, len(odd))) for _ in range(3)]
+    texts += [f"the {w} house" for w in joined] + ["the q8Zr2Lx9Vb4Nt7Kw1Yp6Dm3 house", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
+    assert len(got) == len(texts) and {i for i, x in enumerate(texts) if got[i] != x} == {len(texts) - 2}
+    assert got[len(texts) - 2] == "the [secret] house"
