@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded sample of labelled rows on the executors; the driver gets one count per language and hash slot that occur (a sampled row has one language)
-and broadcasts the matrix of log-probabilities, 2**bits rows by the number of languages. Scoring takes many texts at once: their n-grams
+Training counts n-grams of labelled rows on the executors: of all that aren't held out for `accepted`, of a bounded sample for `op4_language_id`.
+The driver gets one count per language and hash slot that occur, and broadcasts the matrix of log-probabilities, 2**bits rows by the number of languages. Scoring takes many texts at once: their n-grams
 are a sparse matrix of texts by slots, whose product with that matrix is one gather and one segmented sum. The numbers are whole 2**-20ths, so
 sums are exact and a score doesn't depend on what else is in a batch.
 
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import beside_text, code_points, fold, mapped, ngram_slots, sampled, small, table, texts
 
 BITS, ORDERS, UNKNOWN = 14, (1, 2, 3), "und"
-#: Rows that training reads at most; a hash of the id picks them.
+#: Rows that training reads at most, where it is bounded; a hash of the id picks them.
 MAX_TRAIN = 20_000
+#: Languages whose slots a task counts before it passes them on.
+HELD = 256
 #: Code points that are scored at a time, over the languages; fractions of which sums are whole numbers.
 STEP, FINE = 1 << 20, 1 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -81,8 +83,13 @@ class Model:
         return self.predict_all([text])[0]
 
 
-def train(rows: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """rows (doc_id, text, lang)."""
+def train(rows: DataFrame, most: int | None = MAX_TRAIN, held: int = HELD) -> Model:
+    """rows (doc_id, text, lang), about `most` of them at most; None: all."""
+
+    def counted(seen: dict[str, np.ndarray], docs: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in seen.items():
+            at = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs[lang]))], names=["lang", "slot", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -90,14 +97,17 @@ def train(rows: DataFrame, most: int = MAX_TRAIN) -> Model:
         for whole in batches:
             for batch in small(whole):
                 for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                    if len(seen) >= held and lang not in seen:
+                        yield from counted(seen, docs)
+                        seen, docs = {}, {}
                     counts = seen.setdefault(lang, np.zeros(1 << BITS, np.int64))
                     docs[lang] = docs.get(lang, 0) + 1
                     counts += np.bincount(slots(text), minlength=1 << BITS)
-        for lang, counts in seen.items():
-            at = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs[lang]))], names=["lang", "slot", "n"])
+        yield from counted(seen, docs)
 
-    known = sampled(rows.where("lang is not null and text is not null"), F.xxhash64("doc_id", "text"), most)
+    known = rows.where("lang is not null and text is not null")
+    if most is not None:
+        known = sampled(known, F.xxhash64("doc_id", "text"), most)
     counts = known.select("text", "lang").mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     tally, prior = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
@@ -124,9 +134,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return beside_text(docs, run, "lang_pred string, score double")
 
 
-def learned(docs: DataFrame) -> Model:
-    """From the rows that aren't held out."""
-    return train(docs.where(fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang"))
+def learned(docs: DataFrame, most: int | None = MAX_TRAIN) -> Model:
+    """From the rows that aren't held out, about `most` of them at most; None: all."""
+    return train(docs.where(fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang"), most)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +146,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least that probability. Columns as in docs; texts go to Python once."""
-    shared = docs.sparkSession.sparkContext.broadcast(learned(docs))
+    """The rows whose language is known with at least that probability, by a model of all labelled rows that aren't held out. Columns as in docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, None))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

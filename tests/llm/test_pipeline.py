@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from strandlog.llm import mixing, packing, secrets
+from strandlog.llm import langid, mixing, packing, secrets
 
 WORD, M64 = re.compile(r"[^\x20\x09-\x0D]+"), (1 << 64) - 1
 EN = "the and that with from have this there were they house water small people under night".split()
@@ -231,3 +231,29 @@ def test_secret_scan_learns_from_every_document(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
     assert len(got) == len(texts) and {i for i, x in enumerate(texts) if got[i] != x} == {len(texts) - 2}
     assert got[len(texts) - 2] == "the [secret] house"
+
+
+def test_language_id_learns_from_every_labelled_row(spark):
+    """Twelve languages of one labelled row each among 45,000 rows of others are known to the stage, and the model has the counts of all rows."""
+    draw = random.Random(3)
+    of = lambda k: "".join(draw.choices([chr(0x4E00 + 100 * k + j) for j in range(6)], k=40))
+    rows = [(i, of(i % 3), f"l{i % 3}") for i in range(45000)]
+    learn = [i for i in range(50000, 50100) if fold(i) != 2]
+    rows += [(learn[k], of(20 + k), f"rare{k:02}") for k in range(12)]
+    rows += [(60000 + k, of(20 + k), None) for k in range(12)] + [(70000, None, "l0"), (70001, "", "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    assert kept == {i for i, text, _ in rows if text}
+
+    counts, n = {}, Counter()
+    for i, text, lang in rows:
+        if fold(i) != 2 and text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(slots(text))
+            n[lang] += 1
+    for model in (langid.learned(docs, None), langid.train(docs.where("pmod(crc32(cast(doc_id as string)), 4) <> 2"), None, held=2)):
+        assert model.langs == sorted(counts) and len(model.langs) == 15
+        for k, x in enumerate(model.langs):
+            size = sum(counts[x].values()) + 0.5 * (1 << 14)
+            want = [round(math.log((counts[x][s] + 0.5) / size) * langid.FINE) for s in range(1 << 14)]
+            assert max(abs(a - b) for a, b in zip(want, model.log_probs[:, k].tolist(), strict=True)) <= 1
+            assert abs(model.prior[k] - math.log(n[x] / sum(n.values())) * langid.FINE) <= 1
